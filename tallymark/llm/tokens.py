@@ -1,10 +1,10 @@
 """Token ids of texts inside Python workers.
 
-The vocabulary file is a parameter; it is opened once per worker.  White space
-never becomes part of a token of a word-level vocabulary, so a text's ids are
-the ids of its blank-separated words in order, and each distinct word needs to
-be encoded once.  ``exact_by_word`` says whether a vocabulary allows this; if
-it doesn't, whole texts are encoded.
+The vocabulary file is a parameter; it is opened once per worker.  A vocabulary
+whose pre-tokenizer drops white space encodes each blank-separated word on its
+own, and a word as the pieces that its pre-tokenizer's pattern finds, so each
+distinct word and piece needs to be encoded once.  Case is folded beforehand
+where that cannot change an id.  Other vocabularies get whole texts.
 """
 
 from __future__ import annotations
@@ -13,53 +13,80 @@ import json
 import os
 from array import array
 
-#: Words remembered per worker (about 80 MB); on overflow the memory starts anew.
-REMEMBERED_WORDS = 400_000
+import regex
 
-
-def exact_by_word(path: str) -> bool:
-    """True if the pre-tokenizer drops white space, so words are independent."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    first = steps[0] if steps else {}
-    whole = any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens", []))
-    pattern = first.get("pattern", {}).get("Regex", "")
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "^\\s" in pattern and not whole
+#: Words and pieces remembered per worker (about 200 MB); on overflow the memory starts anew.
+REMEMBERED = 1_000_000
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._by_word = exact_by_word(path)
         self._limit = remembered
         self._known: dict[str, bytes] = {}
         self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        first = steps[0] if steps else {}
+        pattern = first.get("pattern", {}).get("Regex", "")
+        special = [t["content"] for t in spec.get("added_tokens", [])]
+        spaced = any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens", []))
+        self._by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "^\\s" in pattern and not spaced
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self._lowers = self._by_word and "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"}
+        self._pieces = regex.compile(pattern).findall if self._by_word else None
+        self._special = regex.compile("|".join(map(regex.escape, special)), regex.IGNORECASE).search if special else lambda text: None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        """Latin-1 words are composed of their pieces (composition and case of such letters are settled), others encoded whole."""
+        known, split, whole = self._known, {}, set()
+        for word in words:
+            if self._lowers and _latin(word) and not self._special(word):
+                split[word] = self._pieces(word.lower())
+                whole.update(split[word])
+            else:
+                whole.add(word)
+        new = [w for w in whole if w not in known]
+        known.update(zip(new, self._encode(new), strict=True))
+        for word, pieces in split.items():
+            if len(pieces) != 1 or pieces[0] != word:
+                known[word] = b"".join([known[p] for p in pieces])
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """One value per text; a null text has no ids."""
         if not self._by_word:
             return self._encode([t or "" for t in texts])
-        out = []
+        lists = []
         for text in texts:
-            words = text.replace("\n", " ").split(" ") if text else []
-            new = [w for w in set(words) if w not in self._known]
-            if new:
-                if len(self._known) + len(new) > self._limit:
-                    self._known.clear()
-                    new = list(set(words))
-                self._known.update(zip(new, self._encode(new), strict=True))
-            out.append(b"".join(map(self._known.__getitem__, words)))
-        return out
+            if text and self._lowers and _latin(text) and not self._special(text):
+                text = text.lower()
+            lists.append(text.replace("\n", " ").split(" ") if text else [])
+        distinct: set[str] = set().union(*lists)
+        new = [w for w in distinct if w not in self._known]
+        if new:
+            if len(self._known) + 2 * len(new) > self._limit:
+                self._known.clear()
+                new = list(distinct)
+            self._learn(new)
+        return [b"".join(map(self._known.__getitem__, words)) for words in lists]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _encoders: dict[str, Encoder] = {}
