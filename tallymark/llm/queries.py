@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, substrings, tokenfile
+from . import chat, packing, quality, substrings, tokenfile, topk, urls
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,10 +28,68 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, tokenfile.write_tokens(_table(spark, sf_dir, "documents"), VOCABULARY))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digest(chat.format_conversations(rows))
+
+
+URL_RULES = [urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the pages whose number ``labels`` calls toxic."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id")).distinct()
+    return urls.judge(pages, pages.join(toxic, "page_id", "left_semi").select("url"), URL_RULES).drop("url")
+
+
+OP5_SQL = r"""
+WITH cut AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ruled AS (
+  SELECT *, CASE
+      WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
+    CASE WHEN host <> '' THEN concat(regexp_replace(host, '^www\.|:\d*$', '', 'g'), regexp_replace(path, '(\.html?|/+)$', '')) END AS key FROM cut),
+listed AS (SELECT DISTINCT key FROM ruled WHERE page_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND key IS NOT NULL)
+SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN r.rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN r.rule IS NOT NULL THEN 'allow'
+  WHEN l.key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r LEFT JOIN listed l ON l.key = r.key
+"""
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.c AS DOUBLE[]), CAST(c.c AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *quality.FIGURES, "kept")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substrings": op2_substrings,
     "op3_token_file": op3_token_file,
+    "op4_chat": op4_chat,
+    "op5_urls": op5_urls,
+    "op9_topk": op9_topk,
+    "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_urls": OP5_SQL, "op9_topk": OP9_SQL}
