@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, substrings, tokenfile, topk, urls
+from . import chat, fuzzylines, mixing, neardup, packing, quality, substrings, tokenfile, topk, urls
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -64,6 +64,28 @@ FROM ruled r LEFT JOIN listed l ON l.key = r.key
 """
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fuzzylines.remove_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: Domains of the labelled table and their share of the mixture.
+MIXTURE = {"clean": 0.90, "junk": 0.08, "toxic": 0.02}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    named = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "junk")
+    return labels.select("doc_id", named.alias("domain")).where("domain is not null")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text"), domains(_table(spark, sf_dir, "labels")), MIXTURE).drop("text")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -88,6 +110,9 @@ QUERIES = {
     "op3_token_file": op3_token_file,
     "op4_chat": op4_chat,
     "op5_urls": op5_urls,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_lines": op7_lines,
+    "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
 }

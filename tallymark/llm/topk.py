@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def _search(k: int, dropped: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _HIT_ARROW.empty_table()
-        dim = max(pa.compute.max(pa.compute.list_value_length(t["v"])).as_py() for t in (left, right))
+        dim = max(pc.max(pc.list_value_length(t["v"])).as_py() for t in (left, right))
         vectors, queries = _matrix(left["v"], dim), _matrix(right["v"], dim)
         names, asked = np.asarray(left["vec_id"]), np.asarray(right["vec_id"])
         index, out = BitSliced(vectors, dropped), []

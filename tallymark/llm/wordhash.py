@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -90,7 +91,7 @@ class Words:
 
 def slices(column: pa.Array, most: int = CHUNK * 2) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes each (a longer text is alone)."""
-    lengths = np.asarray(column.cast(pa.large_string()).fill_null("").cast(pa.large_binary()).value_lengths() if hasattr(column, "value_lengths") else pa.compute.binary_length(column.fill_null("")))
+    lengths = np.asarray(pc.binary_length(column.fill_null("")), np.int64)
     at = 0
     total = np.cumsum(lengths)
     while at < len(lengths):
