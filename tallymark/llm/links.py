@@ -1,7 +1,8 @@
 """Links inside buckets and the groups they connect, as DataFrame operations.
 
 A bucket never becomes all pairs of its members.  First every member is compared
-with the bucket's least member, a star.  Members that the verified links already
+with the bucket's best-known member, the one that shares most bucket places with
+others: the original of a group of edited copies, say.  Members that the verified links already
 connect need no more comparison; only across groups that still share a bucket
 are the remaining pairs compared, so no link that could join two groups is lost.
 """
@@ -46,8 +47,11 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     ``members`` (key, node) is a written table; ``verify`` gets distinct pairs
     (a < b) and returns those that are similar enough.
     """
-    centers = members.groupBy("key").agg(F.min("node").alias("a"))
-    stars = members.join(centers, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    known = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("known"))
+    best = members.join(materialize(known, "known"), "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("best"))
+    centers = best.select("key", F.col("best.node").alias("center"))
+    stars = members.join(centers, "key").where("center <> node").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
     stars = materialize(stars, "stars")
     found = materialize(verify(stars).select("a", "b"), "links")
     groups = components(found)

@@ -99,7 +99,7 @@ def _sets(shingle: int):
     return run
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 24, width: int = 5) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 36, width: int = 8) -> DataFrame:
     """doc_id, node (digest of the text), class_id of every row."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("node"), F.col(text_col).alias("text"))
     texts = materialize(named.groupBy("node").agg(F.first("text").alias("text"), F.min("doc_id").alias("first_id")), "texts")
