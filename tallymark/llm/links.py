@@ -5,6 +5,7 @@ with the bucket's best-known member, the one that shares most bucket places with
 others: the original of a group of edited copies, say.  Members that the verified links already
 connect need no more comparison; only across groups that still share a bucket
 are the remaining pairs compared, so no link that could join two groups is lost.
+A caller that knows a sharper condition than a shared bucket gives ``across``.
 """
 
 from __future__ import annotations
@@ -41,11 +42,13 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(materialize(keys, "shared-keys"), "key"), "members")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, comp of all members that a chain of verified pairs joins to others.
 
     ``members`` (key, node) is a written table; ``verify`` gets distinct pairs
-    (a < b) and returns those that are similar enough.
+    (a < b) and returns those that are similar enough.  ``across`` gets the
+    members (node, comp) of buckets that hold more than one group and returns
+    distinct pairs (a < b) of different groups with every similar pair among them.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     known = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("known"))
@@ -59,8 +62,12 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     placed = materialize(placed, "placed")
     apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     rest = materialize(placed.join(apart, "key"), "apart")
-    left, right = rest.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "key").where("ca <> cb and a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    if across:
+        pairs = across(materialize(rest.select("node", "comp").distinct(), "across"))
+    else:
+        left, right = rest.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
+        pairs = left.join(right, "key").where("ca <> cb and a < b").select("a", "b").distinct()
+    pairs = pairs.join(stars, ["a", "b"], "left_anti")
     more = materialize(verify(materialize(pairs, "pairs")).select("a", "b"), "links")
     if not more.limit(1).count():
         return groups

@@ -7,7 +7,10 @@ a slot keeps its earliest.  Once a shingle's next arrival is later than every
 slot's, it stops, so most stop at their first.  Two slots agree with the
 probability Jaccard similarity of the weighted sets.  Bands of slots are
 buckets; candidates are verified by the Jaccard similarity of the plain sets,
-and chains of verified pairs make a class.
+and chains of verified pairs make a class.  Members of a bucket that its center
+does not connect are candidates only if they share one of their rarest shingles
+early enough for the overlap that ``similarity`` asks (an exact condition, so a
+passage that many documents hold makes no pairs).
 
 Equal texts are one node from the start and never become pairs.  Defined
 results: a text without words (null, empty) is a class of its own text;
@@ -116,7 +119,23 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         common = F.size(F.array_intersect("sa", "sb"))
         return full.withColumn("common", common).where(F.col("common") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("common")))
 
-    groups = link(members, verify)
+    def across(rest: DataFrame) -> DataFrame:
+        """Sets that overlap by ``similarity`` share one of their 1 - ``similarity`` rarest shingles; a common passage is not among them."""
+        held = rest.join(sets, "node").select("node", "comp", F.size("held").alias("n"), F.explode("held").alias("s"))
+        often = held.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+        alone = F.col("n") - F.count("*")
+        shared = held.join(often, "s").groupBy("node", "comp", "n").agg(alone.alias("alone"), F.sort_array(F.collect_list(F.struct("often", "s"))).alias("shared"))
+        length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - F.col("alone")
+        rare = shared.where(length > 0).select("node", "comp", "n", "alone", F.posexplode(F.slice("shared", 1, length.cast("int"))["s"]).alias("i", "s"))
+        rare = materialize(rare.select("node", "comp", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "s"), "rare-shingles")
+        mixed = rare.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s")
+        rare = materialize(rare.join(mixed, "s"), "mixed-shingles")
+        left, right = (rare.select("s", *(F.col(c).alias(c + side) for c in ("node", "comp", "n", "rest"))) for side in "ab")
+        enough = F.least("resta", "restb") >= F.lit(similarity) * (F.col("na") + F.col("nb")) / (1 + similarity) - 1e-9  # the first shingle in common leaves room for the overlap
+        apart = (F.col("compa") != F.col("compb")) & (F.col("nodea") < F.col("nodeb"))
+        return left.join(right, "s").where(apart & enough).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+
+    groups = link(members, verify, across)
     nodes = texts.select("node", "first_id").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     nodes = materialize(nodes.select("node", "comp", "first_id"), "nodes")
     least = nodes.groupBy("comp").agg(F.min("first_id").alias("class_id"))
