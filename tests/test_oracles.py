@@ -6,8 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallymark.plans import queries
+from tallymark.plans import proposals, queries
 
+QUERIES, ORACLES = queries.QUERIES | proposals.QUERIES, queries.ORACLES | proposals.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
@@ -26,8 +27,8 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, duck, name):
-    ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), duck.execute(queries.ORACLES[name]).fetchdf()
+    ours, theirs = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).fetchdf()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert _rows(ours) == _rows(theirs)
