@@ -106,7 +106,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, node (digest of the text), class_id of every row."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("node"), F.col(text_col).alias("text"))
     texts = materialize(named.groupBy("node").agg(F.first("text").alias("text"), F.min("doc_id").alias("first_id")), "texts")
-    members = shared_buckets(texts.select("node", "text").mapInArrow(_bands(shingle, bands, width), "key long, node binary"))
+    buckets = materialize(texts.select("node", "text").mapInArrow(_bands(shingle, bands, width), "key long, node binary"), "buckets")  # read twice, sketched once
+    members = shared_buckets(buckets)
     candidates = members.select("node").distinct()
     wanted = texts.select("node", "text").join(candidates, "node", "left_semi")
     sets = materialize(wanted.mapInArrow(_sets(shingle), "node binary, held array<long>"), "shingles")
