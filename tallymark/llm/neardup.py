@@ -102,8 +102,8 @@ def _sets(shingle: int):
     return run
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 36, width: int = 8) -> DataFrame:
-    """doc_id, node (digest of the text), class_id of every row."""
+def _classed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 36, width: int = 8) -> DataFrame:
+    """doc_id, node (digest of the text), comp (least node of the class), class_id of every row."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("node"), F.col(text_col).alias("text"))
     texts = materialize(named.groupBy("node").agg(F.first("text").alias("text"), F.min("doc_id").alias("first_id")), "texts")
     buckets = materialize(texts.select("node", "text").mapInArrow(_bands(shingle, bands, width), "key long, node binary"), "buckets")  # read twice, sketched once
@@ -140,14 +140,19 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     nodes = texts.select("node", "first_id").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     nodes = materialize(nodes.select("node", "comp", "first_id"), "nodes")
     least = nodes.groupBy("comp").agg(F.min("first_id").alias("class_id"))
-    placed = nodes.join(least, "comp").select("node", "class_id")
-    return named.select("doc_id", "node").join(placed, "node").select("doc_id", "node", "class_id")
+    placed = nodes.join(least, "comp").select("node", "comp", "class_id")
+    return named.select("doc_id", "node").join(placed, "node").select("doc_id", "node", "comp", "class_id")
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, node (digest of the text), class_id of every row."""
+    return _classed(docs, **options).drop("comp")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class, that of the least id; rows alike in id and text count as one."""
-    found = classes(docs, id_col=id_col, text_col=text_col, **options)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_z"), F.col("node").alias("_n")).distinct()
-    stay = stay.groupBy("_i", "_z").agg(F.min("_n").alias("_n"))
-    own = docs.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn("_z", F.col(id_col).isNull()).withColumn("_n", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    """``docs`` with one row of each class, that of the least id (null ids last); rows alike in id and text count as one."""
+    found = _classed(docs, id_col=id_col, text_col=text_col, **options)
+    named = F.struct(F.col("doc_id").isNull().alias("_z"), F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("node").alias("_n"))
+    stay = found.groupBy("comp").agg(F.min(named).alias("stay")).select("stay.*")
+    own = docs.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn("_z", F.col(id_col).cast("long").isNull()).withColumn("_n", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     return own.join(stay, ["_i", "_z", "_n"], "left_semi").drop("_i", "_z", "_n")

@@ -147,6 +147,14 @@ def test_near_duplicates(docs, local):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_a_row_of_each_class(spark):
+    rng = random.Random(8)
+    text = [_prose(rng, 40) for _ in range(5)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (7, text[2]), (4, text[3]), (4, text[4])]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], rows[1], *rows[3:]], key=repr)
+
+
 def test_lines(spark):
     line = "the quick brown fox jumps over the lazy dog near the old stone bridge in the valley of the kings at dawn"
     rows = [(1, f"{line}\nunique first line of one"), (2, f"{line.upper()}!\nunique second"), (3, "short\n\n***\nshort"), (4, None), (5, ""), (6, "short")]
