@@ -155,6 +155,20 @@ def test_keep_one_keeps_a_row_of_each_class(spark):
     assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], rows[1], *rows[3:]], key=repr)
 
 
+def test_near_duplicates_with_a_passage_held_often(spark):
+    """Plain Jaccard of each pair is at least 0.8, though one copy holds a passage 20 times."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(0, 120, 2):
+        base = _prose(rng, 116)
+        more = f"{base} {' '.join([_prose(rng, 23)] * 20)}"
+        a, b = (set(zip(*(t.split()[i:] for i in range(5)))) for t in (base, more))
+        assert len(a & b) / len(a | b) >= 0.8
+        rows += [(k, base), (k + 1, more)]
+    found = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: k - k % 2 for k in range(120)}
+
+
 def test_lines(spark):
     line = "the quick brown fox jumps over the lazy dog near the old stone bridge in the valley of the kings at dawn"
     rows = [(1, f"{line}\nunique first line of one"), (2, f"{line.upper()}!\nunique second"), (3, "short\n\n***\nshort"), (4, None), (5, ""), (6, "short")]
