@@ -186,6 +186,31 @@ def test_fuzzy_lines_join_near_copies(spark):
     assert out == {1: 0, 2: 1, 3: 0}
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_lines_recall(spark):
+    """Lines of 10 to 60 words with one to four words replaced are all linked; brute force says that they are alike."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(0, 240, 2):
+        words = _prose(rng, (10, 12, 20, 30, 40, 60)[k // 2 % 6]).split()
+        near = list(words)
+        for at in rng.sample(range(len(words)), 1 + k // 12 % min(4, len(words) // 6)):
+            near[at] = rng.choice(WORDS) + str(rng.randrange(40))
+        a, b = " ".join(words), " ".join(near)
+        assert 1 - _edits(a, b) / max(len(a), len(b)) >= 0.8
+        rows += [(k, a), (k + 1, b)]
+    out = {r.doc_id: r.n_removed for r in fuzzylines.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {k: k % 2 for k in range(240)}
+
+
 def test_mixing(spark):
     rng = random.Random(9)
     rows = [(k, " ".join(rng.choice(["good", "fine"] if k % 3 else ["bad", "awful"]) + str(rng.randrange(5)) for _ in range(30)), k) for k in range(120)] + [(500, None, 0), (501, "", 0)]
