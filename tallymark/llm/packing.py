@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .tokens import encoder, id_dtype
+from .tokens import SLICE, encoder, id_dtype
+from .wordhash import slices
 
 _PIECE = "part int, seq long, offset long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _PIECE_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-_FLUSH_ROWS = 2000
+_FLUSH_WINDOWS = 500
 
 
 class _Window:
@@ -123,7 +124,7 @@ def pack_partition(path: str, size: int, open_windows: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path), TaskContext.get().partitionId()
-        dtype, end, fit, seq = id_dtype(encode.vocabulary), np.array([end_id], "<u4").tobytes(), BestFit(size, open_windows), 0
+        dtype, fit, seq = id_dtype(encode.vocabulary), BestFit(size, open_windows), 0
         ready: list[tuple] = []
 
         def drain():
@@ -134,14 +135,16 @@ def pack_partition(path: str, size: int, open_windows: int, end_id: int):
             fit.full = []
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low in range(0, len(ids), 64):
-                for doc_id, found in zip(ids[low : low + 64], encode(texts[low : low + 64].to_pylist()), strict=True):
-                    fit.place(doc_id, found + end)
-                drain()
-                if len(ready) >= _FLUSH_ROWS:
-                    yield _rows(part, ready)
-                    ready = []
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for low, high in slices(texts, SLICE):
+                ids, offsets = encode(texts[low:high], end_id)
+                held, edges = ids.tobytes(), (4 * offsets).tolist()
+                for doc_id, begin, end in zip(names[low:high], edges[:-1], edges[1:], strict=True):
+                    fit.place(doc_id, held[begin:end])
+                    if len(fit.full) >= _FLUSH_WINDOWS:
+                        drain()
+                        yield _rows(part, ready)
+                        ready = []
         rest = fit.merge()
         drain()
         ready.extend((None, o, d, s, i, t, dtype) for o, d, s, i, t in rest.pieces)

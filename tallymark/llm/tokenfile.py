@@ -1,14 +1,15 @@
 """Token files: flat unsigned ids, 64-bit document offsets, memory-mapped reads.
 
-A token set is a folder with, per part, ``ids-N.bin`` (flat unsigned ids, 16
-bits when the vocabulary fits, else 32), ``offsets-N.bin`` (unsigned 64-bit
-starts inside the part, one more than documents) and ``docs-N.bin`` (signed
+A token set is a folder with, per part, ``NAME-ids.bin`` (flat unsigned ids, 16
+bits when the vocabulary fits, else 32), ``NAME-offsets.bin`` (unsigned 64-bit
+starts inside the part, one more than documents) and ``NAME-docs.bin`` (signed
 64-bit ids; the least value stands for null), and ``parts``, a small table of
-each part's base.  Parts are ranges of the document id, and bases are prefix
-sums over them, so ids of all parts in order are the corpus in ascending id.
+each part's name and base.  Parts are ranges of the document id, and bases are
+prefix sums over them, so ids of all parts in order are the corpus in ascending id.
 
-A task writes under a name of its own attempt and then renames, so retries and
-lost executors leave whole files only.  Defined results: a null or empty text
+A task names its files by its own attempt, and ``parts`` lists those of the
+attempt that Spark committed, so retries, speculation and lost executors never
+mix files; what other attempts wrote is in no table.  Defined results: a null or empty text
 is the end id alone; equal ids stand next to each other in any order; null ids
 come first; an empty table gives an empty set; other columns are ignored.
 """
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize, new_path
-from .tokens import encoder, id_dtype
+from .tokens import SLICE, encoder, id_dtype
+from .wordhash import slices
 
 NULL_ID = np.iinfo(np.int64).min
-_PART = "part int, n_docs long, n_tokens long, dtype string"
+_PART = "part int, name string, n_docs long, n_tokens long, dtype string"
 _DOC = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _DOC_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 _READ_DOCS = 4096
@@ -41,23 +43,21 @@ def _write_part(folder: str, tokenizer_path: str, end_id: int):
         part, dtype = task.partitionId(), id_dtype(encode.vocabulary)
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        end, at, offsets, docs = np.array([end_id], dtype).tobytes(), 0, [0], []
-        own = f"{root}/.{part}-{task.taskAttemptId()}"
-        with fs.open_output_stream(f"{own}-ids") as out:
+        name, at, offsets, docs = f"{part:06d}-{task.taskAttemptId()}", 0, [np.zeros(1, np.int64)], []
+        with fs.open_output_stream(f"{root}/{name}-ids.bin") as out:
             for batch in batches:
-                names, texts = batch.column(0).to_pylist(), batch.column(1)
-                for low in range(0, len(names), 64):
-                    for found in encode(texts[low : low + 64].to_pylist()):
-                        out.write(np.frombuffer(found, "<u4").astype(dtype).tobytes() + end)
-                        at += len(found) // 4 + 1
-                        offsets.append(at)
-                docs.extend(NULL_ID if n is None else n for n in names)
-        for kind, values in (("offsets", np.array(offsets, "<u8")), ("docs", np.array(docs, "<i8"))):
-            with fs.open_output_stream(f"{own}-{kind}") as out:
+                names, texts = batch.column(0), batch.column(1)
+                docs.append(np.asarray(names.fill_null(NULL_ID), np.int64))
+                for low, high in slices(texts, SLICE):
+                    ids, edges = encode(texts[low:high], end_id)
+                    out.write(ids.astype(dtype).tobytes())
+                    offsets.append(edges[1:] + at)
+                    at += len(ids)
+        docs = np.concatenate([np.empty(0, np.int64), *docs])
+        for kind, values in (("offsets", np.concatenate(offsets).astype("<u8")), ("docs", docs.astype("<i8"))):
+            with fs.open_output_stream(f"{root}/{name}-{kind}.bin") as out:
                 out.write(values.tobytes())
-        for kind in ("ids", "offsets", "docs"):
-            fs.move(f"{own}-{kind}", f"{root}/{kind}-{part:06d}.bin")
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(docs)], "n_tokens": [at], "dtype": [dtype]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [len(docs)], "n_tokens": [at], "dtype": [dtype]})
 
     return run
 
@@ -77,9 +77,9 @@ def _read_parts(folder: str):
         fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                ids = _mapped(fs, f"{root}/ids-{r['part']:06d}.bin", r["dtype"])
-                offsets = _mapped(fs, f"{root}/offsets-{r['part']:06d}.bin", "<u8").astype(np.int64)
-                docs = _mapped(fs, f"{root}/docs-{r['part']:06d}.bin", "<i8")
+                ids = _mapped(fs, f"{root}/{r['name']}-ids.bin", r["dtype"])
+                offsets = _mapped(fs, f"{root}/{r['name']}-offsets.bin", "<u8").astype(np.int64)
+                docs = _mapped(fs, f"{root}/{r['name']}-docs.bin", "<i8")
                 for low in range(0, len(docs), _READ_DOCS):
                     edges = offsets[low : low + _READ_DOCS + 1]
                     sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
