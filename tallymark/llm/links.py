@@ -3,9 +3,16 @@
 A bucket never becomes all pairs of its members.  First every member is compared
 with the bucket's best-known member, the one that shares most bucket places with
 others: the original of a group of edited copies, say.  Members that the verified links already
-connect need no more comparison; only across groups that still share a bucket
-are the remaining pairs compared, so no link that could join two groups is lost.
-A caller that knows a sharper condition than a shared bucket gives ``across``.
+connect need no more comparison.  Buckets that still hold more than one group
+are compared across the groups if they have at most ``narrow`` members; the
+members of wider ones meet again in buckets of two keys that they share, then
+of three, and so on, each narrower than the one before.  So two members meet if
+they share a key of few members or several keys, whatever the size of a bucket;
+only where all keys of many members are the same is the comparison with the
+best-known one the last.
+A caller that knows a sharper condition than shared buckets gives ``across``.
+
+Defined results: members without a link, and an empty table, give no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +49,30 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(materialize(keys, "shared-keys"), "key"), "members")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a < b) of each bucket's best-known member with the others."""
+    sizes = materialize(members.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    known = materialize(members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("known")), "known")
+    best = members.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("best"))
+    centers = materialize(best.select("key", F.col("best.node").alias("center")), "centers")
+    stars = members.join(centers, "key").where("center <> node").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))
+    return materialize(stars.distinct(), "stars")
+
+
+def _unlinked(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, node, comp, size of the members of buckets with more than one group."""
+    placed = materialize(members.join(groups, "node", "left").select(*members.columns, F.coalesce("comp", "node").alias("comp")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
+    return materialize(placed.join(materialize(mixed, "mixed"), "key"), "unlinked")
+
+
+def _across(rest: DataFrame) -> DataFrame:
+    """Pairs (a < b) of each bucket's members of different groups."""
+    left, right = rest.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    return left.join(right, "key").where("ca <> cb and a < b").select("a", "b").distinct()
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame] | None = None, *, narrow: int = 32) -> DataFrame:
     """node, comp of all members that a chain of verified pairs joins to others.
 
     ``members`` (key, node) is a written table; ``verify`` gets distinct pairs
@@ -50,25 +80,34 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: C
     members (node, comp) of buckets that hold more than one group and returns
     distinct pairs (a < b) of different groups with every similar pair among them.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    known = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("known"))
-    best = members.join(materialize(known, "known"), "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("best"))
-    centers = best.select("key", F.col("best.node").alias("center"))
-    stars = members.join(centers, "key").where("center <> node").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
-    stars = materialize(stars, "stars")
-    found = materialize(verify(stars).select("a", "b"), "links")
-    groups = components(found)
-    placed = members.join(groups, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    placed = materialize(placed, "placed")
-    apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = materialize(placed.join(apart, "key"), "apart")
+    stars = _stars(members)
+    links = materialize(verify(stars).select("a", "b"), "links")
+    groups = components(links)
+    rest = _unlinked(members, groups)
     if across:
-        pairs = across(materialize(rest.select("node", "comp").distinct(), "across"))
-    else:
-        left, right = rest.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        pairs = left.join(right, "key").where("ca <> cb and a < b").select("a", "b").distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    more = materialize(verify(materialize(pairs, "pairs")).select("a", "b"), "links")
-    if not more.limit(1).count():
-        return groups
-    return components(found.unionByName(more))
+        pairs = across(materialize(rest.select("node", "comp").distinct(), "across")).join(stars, ["a", "b"], "left_anti")
+        more = materialize(verify(materialize(pairs, "pairs")).select("a", "b"), "links")
+        return components(links.unionByName(more)) if more.limit(1).count() else groups
+    level = members.withColumn("parts", F.array("key"))
+    while True:
+        pairs = _across(rest.where(F.col("size") <= narrow)).join(stars, ["a", "b"], "left_anti")
+        more = materialize(verify(materialize(pairs, "pairs")).select("a", "b"), "links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            groups = components(links)
+        wide = rest.where(F.col("size") > narrow).select("key", "node")
+        if not wide.limit(1).count():
+            return groups
+        held = level.join(wide, ["key", "node"], "left_semi").select("node", "parts")
+        further = held.join(members.select("node", F.col("key").alias("one")), "node").where(~F.array_contains("parts", F.col("one")))
+        further = further.select("node", F.sort_array(F.concat("parts", F.array("one"))).alias("parts")).withColumn("key", F.xxhash64("parts")).dropDuplicates(["key", "node"])
+        level = shared_buckets(materialize(further.select("key", "node", "parts"), "narrower"))
+        if not level.limit(1).count():
+            return groups
+        new = materialize(_stars(level.select("key", "node")).join(stars, ["a", "b"], "left_anti"), "stars")
+        stars = stars.unionByName(new)
+        more = materialize(verify(new).select("a", "b"), "links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            groups = components(links)
+        rest = _unlinked(level.select("key", "node"), groups)
