@@ -216,15 +216,39 @@ def test_mixing(spark):
     rows = [(k, " ".join(rng.choice(["good", "fine"] if k % 3 else ["bad", "awful"]) + str(rng.randrange(5)) for _ in range(30)), k) for k in range(120)] + [(500, None, 0), (501, "", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rate int")
     labels = spark.createDataFrame([(k, "good" if k % 3 else "bad") for k in range(0, 120, 2)], "doc_id long, domain string")
-    out = mixing.mix(docs.drop("rate"), labels, {"good": 0.9, "bad": 0.1})
+    out = mixing.mix(docs.withColumn("n_words", F.lit(-1)).withColumn("copies", F.lit("x")), labels, {"good": 0.9, "bad": 0.1})
     held = out.toPandas()
-    assert len(held) == 122
+    assert len(held) == 122 and sorted(out.columns) == sorted(["doc_id", "text", "rate", "n_words", "p_good", "p_bad", "copies"])
+    assert list(held[held.doc_id >= 500].n_words) == [0, 0]
     n = held.n_words
     good, bad = (held.rate * n * held.p_good).sum(), (held.rate * n * held.p_bad).sum()
     assert abs(good / (good + bad) - 0.9) < 0.01 and (held.rate >= 0).all()
     unseen = held[(held.doc_id % 2 == 1) & (held.doc_id < 120)]
     assert ((unseen.p_good > 0.5) == (unseen.doc_id % 3 > 0)).all()
     assert mixing.replicate(out, ["doc_id", "text"]).count() == held.copies.sum()
+    assert mixing.mix(docs.limit(0), labels, {"good": 0.9, "bad": 0.1}).count() == 0
+    wordless = mixing.mix(docs.where("doc_id >= 500"), labels, {"good": 0.9, "bad": 0.1}).collect()
+    assert [r.rate for r in wordless] == [1.0, 1.0]
+
+
+def test_rates_against_plain_descent(spark):
+    """The same objective minimised by a plain solver over all rows; a first domain without words leaves the others alone."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([4, 1, 0.5], 400)
+    n = rng.integers(1, 200, 400)
+    rows = [(int(k), float(a), float(b), float(c)) for k, (a, b, c) in zip(n, p)]
+    scored = spark.createDataFrame(rows, "n_words long, p_a double, p_b double, p_c double")
+    weights = {"a": 0.6, "b": 0.3, "c": 0.1}
+    rate = np.array([r[0] for r in scored.select(mixing.rates(scored, weights, steps=200)).collect()])
+    totals, target = (rate * n) @ p, np.array(list(weights.values())) * n.sum()
+    assert (rate >= 0).all() and np.abs(totals - target).max() <= 2e-4 * n.sum()
+    r = np.ones(400)
+    for _ in range(4000):
+        r = np.maximum(0, r - (p @ (((r * n) @ p - target) / (n.sum() * (n @ p / n.sum()))) + 1e-5 * (r - 1)))
+    assert np.abs(rate - r).max() < 0.1
+    empty_first = mixing.rates(scored.selectExpr("n_words", "0D p_z", "p_a", "1 - p_a AS p_b"), {"z": 0.1, "a": 0.6, "b": 0.3}, steps=200)
+    got = np.array([x[0] for x in scored.selectExpr("n_words", "0D p_z", "p_a", "1 - p_a AS p_b").select(empty_first).collect()])
+    assert abs((got * n) @ p[:, 0] / n.sum() - 0.6) < 1e-3
 
 
 def test_topk(spark):
