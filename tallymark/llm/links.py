@@ -5,11 +5,10 @@ with the bucket's best-known member, the one that shares most bucket places with
 others: the original of a group of edited copies, say.  Members that the verified links already
 connect need no more comparison.  Buckets that still hold more than one group
 are compared across the groups if they have at most ``narrow`` members; the
-members of wider ones meet again in buckets of two keys that they share, then
-of three, and so on, each narrower than the one before.  So two members meet if
-they share a key of few members or several keys, whatever the size of a bucket;
-only where all keys of many members are the same is the comparison with the
-best-known one the last.
+members of wider ones meet again in the same two ways in buckets of two keys that
+they share.  So two members meet if they share a key, or two keys, that few
+members hold; where even the pairs of keys have many members, only the
+best-known one is compared.
 A caller that knows a sharper condition than shared buckets gives ``across``.
 
 Defined results: members without a link, and an empty table, give no rows.
@@ -24,15 +23,23 @@ from pyspark.sql import functions as F
 
 from .scratch import discard, materialize, new_path
 
+#: Rounds after which groups are good enough to leave comparisons out.
+_ROUNDS = 2
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the least node it is connected with) for every node of ``edges`` (a, b)."""
+
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node, comp (the least node it is connected with) for every node of ``edges`` (a, b).
+
+    After so many ``rounds``, if given, nodes of one comp are connected, but not all that are connected have one comp.
+    """
     spark = edges.sparkSession
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, "edges")
     path = new_path(spark, "labels")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp"), F.lit(True).alias("moved")), "labels", path=path)
-    while labels.where("moved").limit(1).count():
+    done = 0
+    while done != rounds and labels.where("moved").limit(1).count():
+        done += 1
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.select("node", "comp").join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
@@ -82,32 +89,18 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: C
     """
     stars = _stars(members)
     links = materialize(verify(stars).select("a", "b"), "links")
-    groups = components(links)
+    groups = components(links, _ROUNDS)
     rest = _unlinked(members, groups)
     if across:
         pairs = across(materialize(rest.select("node", "comp").distinct(), "across")).join(stars, ["a", "b"], "left_anti")
-        more = materialize(verify(materialize(pairs, "pairs")).select("a", "b"), "links")
-        return components(links.unionByName(more)) if more.limit(1).count() else groups
-    level = members.withColumn("parts", F.array("key"))
-    while True:
-        pairs = _across(rest.where(F.col("size") <= narrow)).join(stars, ["a", "b"], "left_anti")
-        more = materialize(verify(materialize(pairs, "pairs")).select("a", "b"), "links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            groups = components(links)
-        wide = rest.where(F.col("size") > narrow).select("key", "node")
-        if not wide.limit(1).count():
-            return groups
-        held = level.join(wide, ["key", "node"], "left_semi").select("node", "parts")
-        further = held.join(members.select("node", F.col("key").alias("one")), "node").where(~F.array_contains("parts", F.col("one")))
-        further = further.select("node", F.sort_array(F.concat("parts", F.array("one"))).alias("parts")).withColumn("key", F.xxhash64("parts")).dropDuplicates(["key", "node"])
-        level = shared_buckets(materialize(further.select("key", "node", "parts"), "narrower"))
-        if not level.limit(1).count():
-            return groups
-        new = materialize(_stars(level.select("key", "node")).join(stars, ["a", "b"], "left_anti"), "stars")
-        stars = stars.unionByName(new)
-        more = materialize(verify(new).select("a", "b"), "links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            groups = components(links)
-        rest = _unlinked(level.select("key", "node"), groups)
+        return components(links.unionByName(materialize(verify(materialize(pairs, "pairs")).select("a", "b"), "links")))
+    wide = materialize(rest.where(F.col("size") > narrow).select("key", "node"), "wide")
+    narrower = wide.join(members.select("node", F.col("key").alias("one")), "node").where("key <> one")
+    narrower = narrower.select(F.xxhash64(F.least("key", "one"), F.greatest("key", "one")).alias("key"), "node").distinct()
+    narrower = shared_buckets(materialize(narrower, "narrower"))
+    pairs = _across(rest.where(F.col("size") <= narrow)).unionByName(_stars(narrower)).distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = materialize(pairs, "pairs")
+    links = links.unionByName(materialize(verify(pairs).select("a", "b"), "links"))
+    rest = _unlinked(narrower, components(links, _ROUNDS))
+    more = _across(rest.where(F.col("size") <= narrow)).join(stars.unionByName(pairs), ["a", "b"], "left_anti")
+    return components(links.unionByName(materialize(verify(materialize(more, "pairs")).select("a", "b"), "links")))
