@@ -28,14 +28,25 @@ def findings(readings: DataFrame, *, pair_valid: Column | None = None) -> DataFr
     """Seven rows a case: case_id, field, si_value, bl_value, si_issue, bl_issue, outcome, provisional_outcome.
 
     One shuffle: the at most 14 readings of a case become a map, and the seven
-    fields are looked up in it.  ``readings`` may carry ``code`` (a resolved port).
+    fields are looked up in it.  More than one reading of a side and field has
+    no value and the issue ``ambiguous_reading``.  ``readings`` may carry
+    ``code`` (a resolved port).
     """
     if "code" not in readings.columns:
         readings = readings.withColumn("code", F.lit(None).cast("string"))
     entry = F.struct(F.concat_ws(":", "role", "field").alias("k"), F.struct("normalized", "issue", "code").alias("v"))
-    cases = readings.groupBy("case_id").agg(F.map_from_entries(F.collect_list(entry)).alias("held"))
-    rows = cases.select("case_id", "held", F.explode(F.array(*map(F.lit, L.FIELDS))).alias("field"))
-    side = lambda role: F.try_element_at("held", F.concat(F.lit(f"{role}:"), F.col("field")))
+    cases = readings.groupBy("case_id").agg(F.collect_list(entry).alias("list")).withColumn("keys", F.transform("list", lambda x: x["k"]))
+    first = lambda k, i: F.array_position("keys", k) == i + 1
+    twice = F.when(F.size(F.array_distinct("keys")) < F.size("keys"), F.filter("keys", lambda k, i: ~first(k, i)))
+    cases = cases.select("case_id", F.map_from_entries(F.filter("list", lambda x, i: first(x["k"], i))).alias("held"), twice.alias("twice"))
+    rows = cases.select("case_id", "held", "twice", F.explode(F.array(*map(F.lit, L.FIELDS))).alias("field"))
+
+    def side(role: str) -> Column:
+        key = F.concat(F.lit(f"{role}:"), F.col("field"))
+        none = F.lit(None).cast("string")
+        unclear = F.struct(none.alias("normalized"), F.lit("ambiguous_reading").alias("issue"), none.alias("code"))
+        return F.when(F.coalesce(F.array_contains("twice", key), F.lit(False)), unclear).otherwise(F.try_element_at("held", key))
+
     rows = rows.select("case_id", "field", side("SI").alias("si"), side("BL").alias("bl"))
     unknown = F.col("si.issue").isNotNull() | F.col("bl.issue").isNotNull() | F.col("si.normalized").isNull() | F.col("bl.normalized").isNull()
     same = (F.col("si.normalized") == F.col("bl.normalized")) | F.coalesce(F.col("si.code") == F.col("bl.code"), F.lit(False))

@@ -29,14 +29,16 @@ def import_outcome(rows: DataFrame, existing: DataFrame | None = None, *, key: s
     """Adds outcome: the first row of a digest is accepted, later ones and those already there are duplicates.
 
     Firsts come from an aggregate that is combined before the shuffle, so a
-    digest that many rows share is no burden to one task.
+    digest that many rows share is no burden to one task.  A row without a
+    digest could not be read: it failed.  Rows alike in digest and order are one row.
     """
-    first = rows.groupBy(key).agg(F.min(order).alias("_first"))
-    out = rows.join(first, key).withColumn("outcome", F.when(F.col(order) == F.col("_first"), "accepted").otherwise("duplicate")).drop("_first")
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
+    state = F.when(F.col(key).isNull(), "failed").when(F.col(order).eqNullSafe(F.col("_first")), "accepted").otherwise("duplicate")
+    out = rows.join(first, key, "left").withColumn("outcome", state).drop("_first")
     if existing is None:
         return out
     there = existing.select(key).distinct().withColumn("_there", F.lit(True))
-    return out.join(there, key, "left").withColumn("outcome", F.when(F.col("_there"), "duplicate").otherwise(F.col("outcome"))).drop("_there")
+    return out.join(there, key, "left").withColumn("outcome", F.when(F.col("_there") & (F.col("outcome") == "accepted"), "duplicate").otherwise(F.col("outcome"))).drop("_there")
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
