@@ -8,7 +8,8 @@ lets more rows through to the join but changes no verdict.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
 and meets no rule and no listed URL: it is allowed.  Repeated rows are judged
-alike; null or repeated list entries count once; an empty list blocks nothing.
+alike; null or repeated list entries count once; an empty list blocks nothing;
+other columns stay, but ``host``, ``path``, ``rule`` and ``verdict`` are replaced.
 """
 
 from __future__ import annotations
@@ -79,16 +80,16 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], *, url_col
     n_blocks = min(max_blocks, max(64, keys.count() // 4))
     bloom = F.broadcast(blocked_bloom(keys, n_blocks))  # at most max_blocks rows of 16 bytes
 
-    url = F.col(url_col)
-    seen = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
-    rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    seen = seen.withColumn("rule", rule).withColumn("_said", said)
-    seen = seen.withColumn("_key", F.when(F.col("rule").isNull(), canonical(F.col("host"), F.col("path"))))
-    seen = seen.withColumn("block", F.pmod(F.xxhash64("_key"), F.lit(n_blocks))).withColumn("_bits", _bits(F.col("_key")))
-    looked = seen.join(bloom, "block", "left")
-    possible = F.coalesce(F.col("_key").isNotNull() & (F.col("word").bitwiseAND(F.col("_bits")) == F.col("_bits")), F.lit(False))
+    url, rows = F.col(url_col), pages.drop("host", "path", "rule", "verdict")
+    seen = rows.withColumn("_host", host_of(url)).withColumn("_path", path_of(url))
+    rule, said = rule_of(F.col("_host"), F.col("_path"), rules)
+    seen = seen.withColumn("_rule", rule).withColumn("_said", said)
+    seen = seen.withColumn("_key", F.when(F.col("_rule").isNull(), canonical(F.col("_host"), F.col("_path"))))
+    seen = seen.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(n_blocks))).withColumn("_bits", _bits(F.col("_key")))
+    looked = seen.join(bloom.select(F.col("block").alias("_block"), F.col("word").alias("_word")), "_block", "left")
+    possible = F.coalesce(F.col("_key").isNotNull() & (F.col("_word").bitwiseAND(F.col("_bits")) == F.col("_bits")), F.lit(False))
     looked = looked.withColumn("_possible", possible)
-    names = [*pages.columns, "host", "path", "rule", "verdict"]
+    names = [*(F.col(c) for c in rows.columns), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), "verdict"]
     clear = looked.where(~F.col("_possible")).withColumn("verdict", F.coalesce("_said", F.lit("allow")))
     hits = looked.where("_possible").join(keys.select(F.col("key").alias("_listed")).hint("shuffle_hash"), F.col("_key") == F.col("_listed"), "left")
     hits = hits.withColumn("verdict", F.when(F.col("_listed").isNotNull(), "block").otherwise("allow"))
