@@ -127,6 +127,9 @@ def test_urls(spark):
     out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, listed, queries.URL_RULES).collect()}
     assert out == {1: ("www.shop.com", "/fr/a", "com/fr/", "allow"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("example.org", "/es/1", "example.org/es/", "block"), 5: ("a.example.org", "/en/12", "example.org/en/1", "block"), 6: ("listed.net", "/p.html", None, "block"), 7: ("www.listed.net", "/p/", None, "block"), 8: ("other.net", "/p", None, "allow")}
     assert urls.judge(pages, listed.limit(0), queries.URL_RULES).where("verdict = 'block'").count() == 2
+    clash = urls.judge(pages.withColumn("host", F.lit("mine")).withColumn("block", F.lit("mine")), listed, queries.URL_RULES).collect()
+    assert {r.block for r in clash} == {"mine"} and {r.page_id: r.host for r in clash}[1] == "www.shop.com"
+    assert urls.judge(pages.limit(0), listed, queries.URL_RULES).count() == 0
 
 
 def test_near_duplicates(docs, local):
@@ -255,15 +258,20 @@ def test_topk(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(0, 0.1, (300, 16)).astype("float32")
     v[7] = v[8] = v[9]
-    rows = [(k, [float(x) for x in y]) for k, y in enumerate(v)] + [(900, None), (901, [None] * 16), (902, [float("nan")] * 16), (903, []), (None, [1.0] * 16), (5, [float(x) for x in v[6]])]
-    out = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, block=64, queries=4).collect()
-    held = [(k, np.floor(np.float32(y).astype("float64") * 256).astype(int)) for k, y in rows if k is not None and y and all(x is not None and np.isfinite(x) for x in y)]
+    rows = [(k, [float(x) for x in y]) for k, y in enumerate(v)] + [(900, None), (901, [None] * 16), (902, [float("nan")] * 16), (950, []), (None, [1.0] * 16), (5, [float(x) for x in v[6]]), (1000, [70000.0, -1e6]), (1001, [1e6] * 16), (1002, [-1e6, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("row", F.lit(1)).withColumn("rank", F.lit(1))
+    out = topk.search(table, F.col("vec_id") % 50 == 0, block=64).collect()
+    taken = [(k, y) for k, y in rows if k is not None and y is not None and all(x is not None and np.isfinite(x) for x in y)]
+    held = [(k, np.array([int(np.floor(float(np.float32(x)) * 256)) for x in y] + [0] * (16 - len(y)), object)) for k, y in taken]
     expected = set()
     for q, x in held:
         if q % 50 == 0:
             scores = sorted((-int(x @ y), k) for k, y in held if k != q)[:5]
             expected |= {(q, r + 1, k, -s) for r, (s, k) in enumerate(scores)}
     assert {tuple(r) for r in out} == expected
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0]), (3, [1.0, 1.0]), (4, [2e30, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.rank, r.vec_id, r.score) for r in topk.search(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 4, None), (2, 1, None), (3, 3, None), (4, 2, None)]
+    assert topk.search(huge.limit(0), F.col("vec_id") == 0).count() == 0
 
 
 def test_quality(docs, local):
