@@ -19,7 +19,8 @@ Only column expressions are used; texts are scored once.  Defined results: a
 null or empty text has no words, the prior as its posterior, and takes part;
 repeated rows are mixed alike; a domain without labelled rows has smoothed
 counts only; a domain without expected words can't meet its target and leaves
-the others as they are; a corpus without words keeps every rate at 1; an empty
+the others as they are; targets that the steps don't reach, as those of a domain
+that no document belongs to clearly, give a warning with the distance left; a corpus without words keeps every rate at 1; an empty
 table gives an empty table; other columns stay, but ``n_words``, ``p_<domain>``,
 ``rate`` and ``copies`` are replaced.
 """
