@@ -101,4 +101,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sql_with(*names: str) -> str:
     """The views as common table expressions for an oracle."""
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
+    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in names).replace("\nship AS (", "\nship AS MATERIALIZED (")
