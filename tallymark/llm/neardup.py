@@ -152,9 +152,10 @@ def classes(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class, that of the least id (null ids last); rows alike in id and text count as one."""
+    """``docs`` with one row of each class, that of the least id (null ids last); of rows alike in id and text any one."""
     found = _classed(docs, id_col=id_col, text_col=text_col, **options)
     named = F.struct(F.col("doc_id").isNull().alias("_z"), F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("node").alias("_n"))
     stay = found.groupBy("comp").agg(F.min(named).alias("stay")).select("stay.*")
     own = docs.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn("_z", F.col(id_col).cast("long").isNull()).withColumn("_n", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    return own.join(stay, ["_i", "_z", "_n"], "left_semi").drop("_i", "_z", "_n")
+    alone = own.dropDuplicates(["_i", "_z", "_n"])  # combines before the shuffle that the join then uses too
+    return alone.join(stay, ["_i", "_z", "_n"], "left_semi").drop("_i", "_z", "_n")
