@@ -19,8 +19,10 @@ BOUNDARY_LABELS = ("b/l no", "b/l number", "bill of lading no", "bill of lading
 MISSING = ("n/a", "none", "unknown", "-", "not provided", "not available", "n.a", "n.a.")
 UNKNOWN_PORT = ("tba", "tbd", "to be advised", "to be confirmed", "to be determined")
 CONTAINER_UNITS = ("", "container", "containers", "unit", "units", "kontena", "个", "個", "箱")
-UNIT_WORDS = r"kgs?|kilograms?|lbs?|pounds?|grams?|g|mt|tonnes?|tons?|tan"
-UNIT_SIGNS = "公斤|千克|公吨|公噸|吨|噸"
+KILOGRAMS = ("kg", "kgs", "kilogram", "kilograms")
+TONNES = ("mt", "tonne", "tonnes", "tan")
+OTHER_WEIGHTS = ("lb", "lbs", "pound", "pounds", "g", "gram", "grams", "ton", "tons")
+KILOGRAM_SIGNS, TONNE_SIGNS = ("公斤", "千克"), ("公吨", "公噸", "吨", "噸")
 PORTS, PARTIES = FIELDS[3:5], FIELDS[:3]
 
 
@@ -29,6 +31,12 @@ def alternatives(labels) -> str:
     return "|".join(re.escape(x).replace("\\ ", " ") for x in sorted(labels, key=len, reverse=True))
 
 
+UNIT_WORDS, UNIT_SIGNS = alternatives(KILOGRAMS + TONNES + OTHER_WEIGHTS), alternatives(KILOGRAM_SIGNS + TONNE_SIGNS)
+#: Digits, in groups of three after commas if there are any; then a fraction, if there is one.
+GROUPED = "[0-9]+(?:,[0-9]{3})*"
+FRACTION = r"(?:\.[0-9]+)?"
+
+
 def leading(field: str) -> str:
     """A label of ``field`` at the start, notes in parentheses, and a separator or blanks before the value."""
     return rf"(?iU)^\s*(?:{alternatives(LABELS[field])})(?:\s*\([^()\r\n]*\))*(?:\s*[:=\t|]\s*|\s+)(?=\S)"

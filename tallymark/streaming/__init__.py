@@ -17,30 +17,50 @@ _STATE = "revision long, input_revision long, workflow string"
 _INPUT = {"category", "not_spam", "pair", "correct", "revision"}
 
 
-def fold_actions(rows: pd.DataFrame, state: tuple[int, int, str]) -> tuple[list[tuple], tuple[int, int, str]]:
-    """Apply a case's actions in order; one whose expected revision is not the current one is a conflict and changes nothing."""
+_START = (0, 1, "open")
+
+
+def _apply(r: Any, state: tuple[int, int, str]) -> tuple[tuple, tuple[int, int, str]]:
     revision, input_revision, workflow = state
-    out = []
-    for r in rows.sort_values("seq").itertuples(index=False):
-        applied = pd.isna(r.expected_revision) or int(r.expected_revision) == revision
-        if applied:
-            revision += 1
-            input_revision += r.kind in _INPUT
-            workflow = {"workflow": "completed", "not_spam": "open"}.get(r.kind, workflow)
-        out.append((int(r.case_id), int(r.seq), r.kind, bool(applied), revision, input_revision, workflow))
-    return out, (revision, input_revision, workflow)
+    applied = pd.isna(r.expected_revision) or int(r.expected_revision) == revision
+    if applied:
+        revision += 1
+        input_revision += r.kind in _INPUT
+        workflow = {"workflow": "completed", "not_spam": "open"}.get(r.kind, workflow)
+    return (int(r.case_id), int(r.seq), r.kind, bool(applied), revision, input_revision, workflow), (revision, input_revision, workflow)
 
 
-_START = (0, 1, "open")
+def fold_actions(rows: pd.DataFrame, state: tuple[int, int, str]) -> tuple[list[tuple], tuple[int, int, str]]:
+    """Apply a case's actions in order; one whose expected revision is not the current one is a conflict and changes nothing."""
+    out = []
+    for r in rows.sort_values("seq", kind="stable").itertuples(index=False):
+        row, state = _apply(r, state)
+        out.append(row)
+    return out, state
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in OUTCOME.split(", ")])
 
 
+def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by case and number; only the state of the case at hand is held, however many actions it has."""
+    case, state = None, _START
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            if r.case_id != case:
+                case, state = r.case_id, _START
+            row, state = _apply(r, state)
+            out.append(row)
+        yield _frame(out)
+
+
 def replay_actions(actions: DataFrame) -> DataFrame:
-    """Batch twin of ``apply_actions``: a fold for each case."""
-    return actions.select("case_id", "seq", "kind", "expected_revision").groupBy("case_id").applyInPandas(lambda rows: _frame(fold_actions(rows, _START)[0]), OUTCOME)
+    """Batch twin of ``apply_actions``; actions without a case or a number have nothing to act on and are left out."""
+    chosen = actions.select("case_id", "seq", "kind", "expected_revision").where("case_id is not null and seq is not null")
+    ordered = chosen.repartition("case_id").sortWithinPartitions("case_id", "seq", "kind", "expected_revision")
+    return ordered.mapInPandas(_fold_sorted, OUTCOME)
 
 
 def _stateful(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
