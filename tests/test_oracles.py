@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallymark.plans import proposals, queries
+from tallymark.plans import manifests, proposals, queries
 
-QUERIES, ORACLES = queries.QUERIES | proposals.QUERIES, queries.ORACLES | proposals.ORACLES
+QUERIES, ORACLES = queries.QUERIES | proposals.QUERIES | manifests.QUERIES, queries.ORACLES | proposals.ORACLES | manifests.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
