@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fuzzylines, mixing, neardup, packing, quality, substrings, tokenfile, topk, urls
+from . import chat, fuzzylines, mixing, neardup, packing, quality, substrings, suffixes, tokenfile, topk, urls
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -104,6 +104,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *quality.FIGURES, "kept")
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substrings": op2_substrings,
@@ -115,6 +120,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
+    "op11_suffixes": op11_suffixes,
 }
 
 ORACLES: dict[str, str] = {"op5_urls": OP5_SQL, "op9_topk": OP9_SQL}
