@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fuzzylines, mixing, neardup, packing, quality, substrings, suffixes, tokenfile, topk, urls
+from . import chat, collocations, fuzzylines, mixing, neardup, packing, quality, substrings, suffixes, tokenfile, topk, urls
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -109,6 +109,30 @@ def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang HAVING sum(len(w)) > 0),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+grams AS (SELECT lang, w[i:i + k - 1] AS p FROM starts, range(1, 6) AS t(k) WHERE i + k - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, p, count(*) AS a FROM grams GROUP BY lang, p HAVING count(*) >= 100),
+c AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+cuts AS (SELECT c.lang, c.p, c.a, c.k, x.a AS l, y.a AS r, total.n,
+    CAST((1000 * CAST(c.a AS HUGEINT) * CAST(total.n AS HUGEINT)) // (CAST(x.a AS HUGEINT) * CAST(y.a AS HUGEINT)) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:] JOIN total ON total.lang = c.lang),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+subs AS (SELECT lang, p[s:s + m - 1] AS p, max(a) AS longer FROM f, range(2, 5) AS t(m), range(1, 5) AS u(s) WHERE m < len(p) AND s + m - 1 <= len(p) GROUP BY ALL),
+kept AS (SELECT z.* FROM lowest z LEFT JOIN subs ON subs.lang = z.lang AND subs.p = z.p WHERE subs.longer IS NULL OR subs.longer < z.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+  array_to_string(p, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM kept QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substrings": op2_substrings,
@@ -121,6 +145,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
     "op11_suffixes": op11_suffixes,
+    "op12_collocations": op12_collocations,
 }
 
-ORACLES: dict[str, str] = {"op5_urls": OP5_SQL, "op9_topk": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_urls": OP5_SQL, "op9_topk": OP9_SQL, "op12_collocations": OP12_SQL}
