@@ -1,21 +1,22 @@
 """Removing byte strings that occur more than once (suffix arrays by two-stage sorting).
 
-Equal strings of ``window`` bytes meet through their *anchor*, the least hash of
-the ``gram``-byte strings inside them: a run of windows with one anchor is a
-segment, at most ``_LONGEST`` windows long.  Anchors that stand in the corpus once end
-there.  Of the others, each distinct segment goes to the task of its anchor,
-once, or twice where the corpus holds it more than once, and tasks build suffix
-arrays over about ``_BATCH`` bytes of whole anchors:
+Equal strings of ``window`` bytes meet through their *anchor*, the least-hashed
+string of ``gram`` bytes inside them; windows in a row with the same anchor are
+a segment.  Segments whose anchor stands in the corpus once end there.  Of the
+others, each distinct one goes to the task of its anchor, with the mark whether
+the corpus holds it more than once, and tasks build suffix arrays over about
+``_BATCH`` bytes of whole anchors:
 
 1. suffixes smaller than their successors are sorted directly, by eight bytes a
    round, equal windows once (no order among them is needed);
 2. all others are induced by one scan over the buckets of first bytes;
 3. common prefixes of neighbours tell which windows stand elsewhere, too.
 
-A segment's repeated windows go back to every document that holds it.  An anchor
-with more than ``most_kinds`` distinct segments (a common line in ever new
-surroundings) is split: each of its windows becomes a segment of its own, with
-the window's hash as anchor, so no group grows with the corpus.
+Windows repeated so, and those of marked segments, go back to every document
+that holds the segment.  An anchor with more than ``most_kinds`` distinct
+segments (a common line in ever new surroundings) is split: each of its windows
+becomes a segment of its own, with the window's hash as anchor, so no group
+grows with the corpus.
 
 What is shuffled is a row per segment (about one in 80 bytes), the distinct
 segments of repeated anchors, and the texts twice.  Segments count as equal when
@@ -43,10 +44,11 @@ _U = np.uint64
 _BYTE_ENDS = _U(1) << np.arange(0, 64, 8, dtype=_U)
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 20
-_LONGEST = 1 << 16
+_PLACE = 28  # low bits of a sort key that hold the position
 _BATCH = 1 << 20
-_SEGMENT = "k1 long, k2 long, anchor long, content long, start long, n int, doubled boolean"
-_BODY = "anchor long, content long, copy int, body binary"
+_STRIDE = 32
+_SEGMENT = "k1 long, k2 long, anchor long, content long, start long, n int"
+_BODY = "anchor long, content long, often boolean, body binary"
 _FOUND = "anchor long, content long, runs array<long>"
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -67,8 +69,19 @@ def _eights(text: np.ndarray) -> np.ndarray:
     return np.ndarray(len(text), ">u8", padded.data, strides=(1,)).astype(_U)
 
 
-def _sorted_directly(eights: np.ndarray, places: np.ndarray, window: int, whole: np.ndarray) -> np.ndarray:
-    """``places`` ordered by their first ``window`` bytes; ``whole`` is the hash of these bytes."""
+def _parted(keys: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """True for members of groups (each begins where ``new``) that differ in their keys."""
+    group = np.cumsum(new) - 1
+    differs = (keys[1:] != keys[:-1]) & ~new[1:]
+    parted = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+    parted[group[1:][differs]] = True
+    return parted[group]
+
+
+def _sorted_directly(text: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """``places`` ordered by their first ``window`` bytes."""
+    values = _BYTES[np.r_[text, np.zeros(_STRIDE, np.uint8)]]
+    whole, strides, eights = _runs(values, window)[places], _runs(values, _STRIDE), _eights(text)
     by_hash = np.argsort(whole, kind="stable")
     hashes = whole[by_hash]
     first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
@@ -77,17 +90,31 @@ def _sorted_directly(eights: np.ndarray, places: np.ndarray, window: int, whole:
     key = eights[one]
     order = np.argsort(key)
     new = np.r_[True, key[order][1:] != key[order][:-1]][: len(order)]
+    open_ = np.arange(len(order))
+    asleep: list[np.ndarray] = []
     for depth in range(8, window, 8):
+        long_step = (depth - 8) % _STRIDE == 0
+        if long_step:
+            open_, asleep = np.sort(np.concatenate([open_, *asleep])), []
         alone = new & np.r_[new[1:], True]
-        open_ = np.flatnonzero(~alone)  # slots of groups not told apart yet
+        open_ = open_[~alone[open_]]  # slots of groups not told apart yet
         if not len(open_):
-            break
-        group = np.cumsum(new[open_])
-        own = order[open_]
-        key = eights[np.minimum(one[own] + depth, len(eights) - 1)]
+            if not asleep:
+                break
+            continue
+        if long_step:  # most groups agree on a whole stride and stay as they are
+            parted = _parted(strides[one[order[open_]] + depth], new[open_])
+            asleep.append(open_[~parted])
+            open_ = open_[parted]
+        key = eights[np.minimum(one[order[open_]] + depth, len(eights) - 1)]
+        those = np.flatnonzero(_parted(key, new[open_]))
+        if not len(those):
+            continue
+        slots, key = open_[those], key[those]
+        group = np.cumsum(new[slots])
         again = np.lexsort((key, group))
-        order[open_], key = own[again], key[again]
-        new[open_[1:]] |= key[1:] != key[:-1]
+        order[slots], key = order[slots[again]], key[again]
+        new[slots[1:]] |= key[1:] != key[:-1]
     count, start = count[order], first[order]
     before = np.cumsum(count) - count
     return places[by_hash[np.repeat(start - before, count) + np.arange(len(places))]]
@@ -98,7 +125,7 @@ def suffix_order(text: np.ndarray, window: int) -> np.ndarray:
     text = np.r_[text, np.zeros(window, np.uint8)]  # so that every suffix has its window
     n, rising = len(text), _ascending(text)
     direct = np.flatnonzero(rising)
-    direct = _sorted_directly(_eights(text), direct, window, _runs(_BYTES[text], window)[direct])
+    direct = _sorted_directly(text, direct, window)
     size, risen = np.bincount(text, minlength=256), np.bincount(text[direct], minlength=256)
     start = np.cumsum(size) - size
     tail = start + size - risen  # in a bucket the induced come before the directly sorted
@@ -212,32 +239,24 @@ def _pieces(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, int, np
 
 
 def _segments(data: np.ndarray, edges: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """row, anchor, content hash, start in the row, number of windows, whether the anchor stands in it more than once."""
-    none = (np.empty(0, np.int64),) * 6
+    """row, anchor, content hash, start in the row, number of windows."""
+    none = (np.empty(0, np.int64),) * 5
     if len(data) < window:
         return none
     grams = _runs(_BYTES[data], gram)
-    anchor = _least(grams, window - gram + 1)
-    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[: len(anchor)]
-    inside = np.flatnonzero(np.arange(len(anchor)) + window <= edges[row + 1])
+    place = _least(((grams >> _U(_PLACE)) << _U(_PLACE)) | np.arange(len(grams), dtype=_U), window - gram + 1)
+    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[: len(place)]
+    inside = np.flatnonzero(np.arange(len(place)) + window <= edges[row + 1])
     if not len(inside):
         return none
-    row, anchor = row[inside], anchor[inside]
-    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]
-    at = np.flatnonzero(new)
+    row, place = row[inside], (place[inside] & _U((1 << _PLACE) - 1)).astype(np.int64)
+    at = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
     length = np.diff(np.r_[at, len(inside)])
-    if length.max() > _LONGEST:
-        parts = -(-length // _LONGEST)
-        at = np.repeat(at, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * _LONGEST
-        length = np.diff(np.r_[at, len(inside)])
-    begin = inside[at]
+    begin, row, place = inside[at], row[at], place[at]
     sums = np.r_[_U(0), np.cumsum(grams)]
     last = begin + length + window - gram
-    content = mix(sums[last] - sums[begin] + mix(grams[begin] ^ mix(grams[last - 1] + length.astype(_U))))
-    views = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
-    first = begin + (views[begin] == anchor[at, None]).argmax(axis=1)
-    final = last - 1 - (views[begin + length - 1, ::-1] == anchor[at, None]).argmax(axis=1)
-    return row[at], anchor[at], content, begin - edges[row[at]], length, first < final
+    content = mix(sums[last] - sums[begin] + mix(grams[begin] ^ mix(grams[last - 1] + length.astype(_U) + ((place - begin).astype(_U) << _U(32)))))
+    return row, grams[place], content, begin - edges[row], length
 
 
 def _index(window: int, gram: int):
@@ -245,9 +264,9 @@ def _index(window: int, gram: int):
         for batch in batches:
             k1, k2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for rows, base, data, edges in _pieces(batch.column(2), window):
-                row, anchor, content, start, n, doubled = _segments(data, edges, window, gram)
+                row, anchor, content, start, n = _segments(data, edges, window, gram)
                 if len(row):
-                    yield pa.RecordBatch.from_pydict({"k1": k1[rows[row]], "k2": k2[rows[row]], "anchor": anchor.view(np.int64), "content": content.view(np.int64), "start": start + base, "n": n.astype(np.int32), "doubled": doubled})
+                    yield pa.RecordBatch.from_pydict({"k1": k1[rows[row]], "k2": k2[rows[row]], "anchor": anchor.view(np.int64), "content": content.view(np.int64), "start": start + base, "n": n.astype(np.int32)})
 
     return run
 
@@ -271,7 +290,7 @@ def _single_windows(window: int):
                 low = edges[row[k]] + of["start"][k]
                 own = _runs(_BYTES[data[low : low + of["n"][k] + window - 1]], window)
                 n = len(own)
-                yield pa.RecordBatch.from_pydict({"k1": np.repeat(k1[row[k]], n), "k2": np.repeat(k2[row[k]], n), "anchor": own.view(np.int64), "content": mix(own ^ _U(_BASE)).view(np.int64), "start": of["start"][k] + np.arange(n), "n": np.ones(n, np.int32), "doubled": np.zeros(n, bool)})
+                yield pa.RecordBatch.from_pydict({"k1": np.repeat(k1[row[k]], n), "k2": np.repeat(k2[row[k]], n), "anchor": own.view(np.int64), "content": mix(own ^ _U(_BASE)).view(np.int64), "start": of["start"][k] + np.arange(n), "n": np.ones(n, np.int32)})
 
     return run
 
@@ -285,12 +304,12 @@ def _bodies(window: int):
             row, of = _wanted(batch.column(1))
             if not len(row):
                 continue
-            key = np.stack([of["anchor"], of["content"], of["copy"].astype(np.int64)])
+            key = np.stack([of["anchor"], of["content"]])
             _, once = np.unique(key, axis=1, return_index=True)  # rows alike in id and text name the same segments
             low = edges[row[once]] + of["start"][once]
             high = low + of["n"][once] + window - 1
             held = [data[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"anchor": of["anchor"][once], "content": of["content"][once], "copy": of["copy"][once].astype(np.int32), "body": pa.array(held, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"anchor": of["anchor"][once], "content": of["content"][once], "often": of["often"][once], "body": pa.array(held, pa.binary())})
 
     return run
 
@@ -300,19 +319,18 @@ def _sorted_segments(window: int):
 
     def solve(part: pa.Table) -> pa.RecordBatch | None:
         part = part.combine_chunks()
-        anchor, content, copy = (np.asarray(part.column(k)) for k in range(3))
-        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (copy[1:] != copy[:-1])]
-        part = part.filter(pa.array(new))
+        anchor, content = (np.asarray(part.column(k)) for k in range(2))
+        part = part.filter(pa.array(np.r_[True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
         data, edges = _flat_bytes(pa.concat_arrays(part.column(3).chunks))
-        fits = np.zeros(len(data), bool)
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            fits[low : high - window + 1] = True
-        twice = np.r_[False, repeated(data, fits, window)]
-        low = np.flatnonzero(twice[1:] & (~twice[:-1] | np.isin(np.arange(len(data)), edges[:-1])))
+        first = np.zeros(len(data) + 1, np.int8)
+        first[edges[:-1]] += 1
+        first[edges[1:] - window + 1] -= 1
+        fits = np.cumsum(first[:-1], dtype=np.int8) > 0
+        often = np.repeat(np.asarray(part.column(2).combine_chunks().cast(pa.uint8())) > 0, np.diff(edges))
+        twice = np.r_[False, repeated(data, fits, window) | (often & fits)]
+        low = np.flatnonzero(twice[1:] & ~twice[:-1])  # a segment's end, which fits no window, parts it from the next
         high = np.flatnonzero(twice[1:] & ~np.r_[twice[2:], False]) + 1
         row = np.searchsorted(edges, low, "right") - 1
-        first = np.asarray(part.column(2))[row] == 0
-        row, low, high = row[first], low[first], high[first]
         if not len(row):
             return None
         begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -362,7 +380,7 @@ def _remove(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 40, most_kinds: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 40, most_kinds: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every row."""
     if not 1 <= gram <= window:
         raise ValueError("1 <= gram <= window")
@@ -370,12 +388,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts, place = keyed.select("k1", "k2", "text"), F.struct("k1", "k2", "start", "n")
     index_path = new_path(spark, "segments")
     index = materialize(texts.mapInArrow(_index(window, gram), _SEGMENT), "segments", path=index_path)
-    again = index.groupBy("anchor").agg(F.count("*").alias("rows"), F.max("doubled").alias("doubled")).where("rows > 1 or doubled").select("anchor")
+    again = index.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1").select("anchor")
     spans = materialize(index.join(again, "anchor"), "repeated-anchors")
     discard(spark, index_path)
 
     def kinds(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("anchor", "content").agg(F.count("*").alias("rows"), F.min(place).alias("a"), F.max(place).alias("b"))
+        return rows.groupBy("anchor", "content").agg((F.count("*") > 1).alias("often"), F.min(place).alias("at")).select("anchor", "content", "often", "at.*")
 
     distinct = materialize(kinds(spans), "kinds")
     hot = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most_kinds).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
@@ -388,11 +406,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         spans = materialize(spans.join(hot, "anchor", "left_anti").unionByName(windows), "segments-split")
         distinct = materialize(kinds(spans), "kinds-split")
 
-    first = distinct.select("anchor", "content", F.lit(0).alias("copy"), "a.*")
-    both = first.unionByName(distinct.where("rows > 1").select("anchor", "content", F.lit(1).alias("copy"), "b.*"))
-    lists = both.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "content", "copy", "start", "n")).alias("wanted"))
+    lists = distinct.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "content", "often", "start", "n")).alias("wanted"))
     bodies = texts.join(lists.hint("shuffle_hash"), ["k1", "k2"]).select("text", "wanted").mapInArrow(_bodies(window), _BODY)
-    found = bodies.repartition("anchor").sortWithinPartitions("anchor", "content", "copy").mapInArrow(_sorted_segments(window), _FOUND)
+    found = bodies.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sorted_segments(window), _FOUND)
     found = materialize(found, "repeated-windows")
     runs = F.transform("runs", lambda x: x + F.shiftleft("start", 32)).alias("runs")
     removed = spans.join(found, ["anchor", "content"]).select("k1", "k2", runs).groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
