@@ -34,15 +34,14 @@ from .suffixes import _flat_bytes
 from .wordhash import _word_hashes, slices
 
 _U = np.uint64
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 _SALTS = 32
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 _BLANK = _ENDS.copy()
 _BLANK[[9, 32]] = True
 _WORDS = "lang string, words binary, names array<struct<h: long, word: string, n: long>>"
-_NAMES = pa.struct([("h", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
-_FLUSH = 1 << 22
+_FLUSH = 1 << 20
 
 
 # ---- words ---------------------------------------------------------------------------------
@@ -58,10 +57,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts = batch.column(1)[low:high].filter(pa.array(np.asarray(own.indices) == k))
                 row = _words(*_flat_bytes(texts))
                 if row is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([own.dictionary[k].as_py()]), pa.array([row[0]], pa.binary()), pa.array([row[1]], pa.list_(_NAMES))], ["lang", "words", "names"])
+                    names = pa.ListArray.from_arrays(pa.array([0, len(row[1])], pa.int32()), row[1])
+                    yield pa.RecordBatch.from_arrays([pa.array([own.dictionary[k].as_py()]), pa.array([row[0]], pa.binary()), names], ["lang", "words", "names"])
 
 
-def _words(data: np.ndarray, edges: np.ndarray) -> tuple[bytes, list[dict]] | None:
+def _words(data: np.ndarray, edges: np.ndarray) -> tuple[bytes, pa.StructArray] | None:
     data = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
     inside = ~_BLANK[data]
     first = np.zeros(len(data) + 1, bool)
@@ -76,7 +76,8 @@ def _words(data: np.ndarray, edges: np.ndarray) -> tuple[bytes, list[dict]] | No
     new = np.flatnonzero(np.diff(piece)) + 1
     known, at, count = np.unique(hashes, return_index=True, return_counts=True)
     held = data.tobytes()
-    names = [{"h": h, "word": held[a:b].decode(), "n": n} for h, a, b, n in zip(known.view(np.int64).tolist(), starts[at].tolist(), ends[at].tolist(), count.tolist(), strict=True)]
+    spelled = pa.array([held[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
+    names = pa.StructArray.from_arrays([pa.array(known.view(np.int64)), spelled, pa.array(count, pa.int64())], ["h", "word", "n"])
     return np.insert(hashes, new, _U(0)).tobytes(), names
 
 
@@ -161,6 +162,7 @@ def _count(shipped, length: int, alone: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, phrases, langs, roots, trie = shipped.value
         held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def merged() -> tuple[np.ndarray, ...]:
             phrase, last, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -198,10 +200,13 @@ def _count(shipped, length: int, alone: bool):
                 here = (at < n) & (accepts[np.minimum(at + 1, n)] if alone else words[np.minimum(at, n - 1) + length - 1] != 0)
                 at, state = at[here], state[here]
                 held.append((trie.phrase[state], words[at + length - 1], np.ones(len(at), np.int64)))
-                held[:] = [merged()]
-                if len(held[0][0]) > _FLUSH:
-                    yield rows()
-                    held.clear()
+                size += len(at)
+                if size > _FLUSH:
+                    held[:] = [merged()]
+                    size = len(held[0][0])
+                    if size > _FLUSH // 2:
+                        yield rows()
+                        held, size = [], 0
         if held:
             yield rows()
 
@@ -251,8 +256,8 @@ def mine(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", lea
     words = materialize(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_encode, _WORDS), "words")
     named = words.select("lang", F.inline("names"))
     total = named.groupBy("lang").agg(F.sum("n").alias("n"))
-    names = materialize(named.groupBy("lang", "h").agg(F.sum("n").alias("a"), F.min("word").alias("word")).where(F.col("a") >= least), "frequent-words")
-    levels = [names.select("lang", F.array("h").alias("p"), "a")]
+    frequent = named.groupBy("lang", "h").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    levels = [materialize(frequent.select("lang", F.array("h").alias("p"), "a"), "frequent-words")]
     for length in range(2, longest + 1):
         if levels[-1].isEmpty():
             break
@@ -278,7 +283,9 @@ def mine(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", lea
 
     salted = Window.partitionBy("lang", F.pmod(F.xxhash64("p"), F.lit(_SALTS))).orderBy(F.desc("score"), F.desc("a"))
     best = materialize(scored.withColumn("ahead", F.rank().over(salted)).where(F.col("ahead") <= first).drop("ahead"), "best-phrases")  # ties stay for the order by phrase
-    spelled = best.select("lang", "p", F.posexplode("p").alias("place", "h")).join(names.select("lang", "h", "word"), ["lang", "h"])
+    used = best.select(F.explode("p").alias("h")).distinct()
+    names = named.select("h", "word").join(used, "h").groupBy("h").agg(F.min("word").alias("word"))
+    spelled = best.select("lang", "p", F.posexplode("p").alias("place", "h")).join(names, "h")
     texts = spelled.groupBy("lang", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = best.join(texts, ["lang", "p"]).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
