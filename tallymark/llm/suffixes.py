@@ -380,7 +380,7 @@ def _remove(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 40, most_kinds: int = 1024) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 40, most_kinds: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every row."""
     if not 1 <= gram <= window:
         raise ValueError("1 <= gram <= window")
