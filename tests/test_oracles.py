@@ -6,9 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallymark.plans import manifests, proposals, queries
+from tallymark.plans import manifests, proposals, queries, regions, scores
 
-QUERIES, ORACLES = queries.QUERIES | proposals.QUERIES | manifests.QUERIES, queries.ORACLES | proposals.ORACLES | manifests.ORACLES
+PLANS = (queries, proposals, manifests, regions, scores)
+QUERIES, ORACLES = ({k: x for own in PLANS for k, x in getattr(own, kind).items()} for kind in ("QUERIES", "ORACLES"))
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
