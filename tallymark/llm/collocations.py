@@ -41,7 +41,8 @@ _ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 _BLANK = _ENDS.copy()
 _BLANK[[9, 32]] = True
 _WORDS = "lang string, words binary, names array<struct<h: long, word: string, n: long>>"
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
+_ROWS = 1 << 15
 
 
 # ---- words ---------------------------------------------------------------------------------
@@ -171,11 +172,13 @@ def _count(shipped, length: int, alone: bool):
             new = np.r_[True, (phrase[1:] != phrase[:-1]) | (last[1:] != last[:-1])][: len(order)]
             return phrase[new], last[new], np.bincount(np.cumsum(new) - 1, n, int(new.sum())).astype(np.int64)
 
-        def rows() -> pa.RecordBatch:
-            phrase, last, n = merged()
-            words = np.zeros((len(n), 5), _U)
-            words[:, : length - 1], words[:, length - 1] = phrases[phrase], last
-            return pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(roots[phrase])), *(pa.array(words[:, k].view(np.int64)) for k in range(5)), pa.array(n)], ["lang", "h1", "h2", "h3", "h4", "h5", "n"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            every = merged()
+            for at in range(0, len(every[0]), _ROWS):
+                phrase, last, n = (x[at : at + _ROWS] for x in every)
+                words = np.zeros((5, len(n)), _U)
+                words[: length - 1], words[length - 1] = phrases[phrase].T, last
+                yield pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(roots[phrase])), *(pa.array(x.view(np.int64)) for x in words), pa.array(n)], ["lang", "h1", "h2", "h3", "h4", "h5", "n"])
 
         number = {lang: k for k, lang in enumerate(langs)}
         for batch in batches:
@@ -205,10 +208,10 @@ def _count(shipped, length: int, alone: bool):
                     held[:] = [merged()]
                     size = len(held[0][0])
                     if size > _FLUSH // 2:
-                        yield rows()
+                        yield from rows()
                         held, size = [], 0
         if held:
-            yield rows()
+            yield from rows()
 
     return run
 
@@ -236,7 +239,8 @@ def _next_level(words: DataFrame, shorter: DataFrame, length: int, least: int, t
         found = words.select("lang", "words").mapInArrow(_count(shipped, length, tries == 1), _COUNTED)
         counted = found if counted is None else counted.unionByName(found)
     keys = [f"h{k}" for k in range(1, length + 1)]
-    sums = counted.groupBy("lang", *keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    dealt = counted.select("lang", *keys, "n").repartition("lang", *keys)  # tasks have summed their own rows already
+    sums = dealt.groupBy("lang", *keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     return materialize(sums.select("lang", F.array(*keys).alias("p"), "a"), f"phrases-{length}")
 
 
