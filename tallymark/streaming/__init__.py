@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import reviews
+
 ACTION = "case_id long, seq long, kind string, expected_revision long"
 OUTCOME = "case_id long, seq long, kind string, applied boolean, revision long, input_revision long, workflow string"
 _STATE = "revision long, input_revision long, workflow string"
@@ -75,6 +78,22 @@ def apply_actions(actions: DataFrame) -> DataFrame:
     return chosen.groupBy("case_id").applyInPandasWithState(_stateful, OUTCOME, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _follow(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    held = json.loads(state.get[0]) if state.exists else None
+    out = []
+    for row in pd.concat(list(batches)).sort_values(["seq", "kind"], kind="stable").itertuples(index=False):  # a case's share of one trigger
+        outcome, held = reviews.apply_event(row, held)
+        out.append(outcome)
+    state.update((reviews.packed(held),))
+    yield reviews.outcome_frame(out)
+
+
+def follow_cases(events: DataFrame) -> DataFrame:
+    """A stream of ``reviews.EVENT`` folded into its cases; its batch twin is ``reviews.replay``."""
+    chosen = events.select(reviews.EVENT_NAMES).where("case_id is not null and seq is not null")
+    return chosen.groupBy("case_id").applyInPandasWithState(_follow, reviews.OUTCOME, "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def new_files(spark: SparkSession, path: str, schema: str, *, per_trigger: int = 100) -> DataFrame:
     """Rows of Parquet files as they arrive."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
