@@ -7,7 +7,11 @@ can begin and end with, are broadcast as a double-array trie, ``t = base[s] + c`
 with ``check[t] = s``.  numpy moves the states of all text positions by one word
 at a time; where a position *and* the one after it end in accepting states, a
 candidate of k words stands.  A task counts the pairs of accepting state and
-next word with ``bincount``, and Spark sums the tasks' counts.
+next word with ``bincount``, and Spark sums the tasks' counts.  Most pairs of
+frequent words are rare, so a first pass counts pairs in hashed buckets, about
+one for every ``_PER_BUCKET`` words; a pair in a bucket of fewer than ``least``
+is no candidate.  Full buckets are a bitmap of at most 2^``_MOST_BUCKETS`` bits;
+larger corpora take as many passes, each for a class of pairs by hash.
 
 A broadcast trie holds ``trie_phrases`` phrases at most.  More are dealt to
 several tries by hash, each with a pass of its own over the words; the check of
@@ -22,16 +26,18 @@ each; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize
 from .suffixes import _flat_bytes
-from .wordhash import _word_hashes, slices
+from .wordhash import _word_hashes, mix, slices
 
 _U = np.uint64
 _SLICE = 1 << 20
@@ -40,7 +46,9 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 _BLANK = _ENDS.copy()
 _BLANK[[9, 32]] = True
-_WORDS = "lang string, words binary, names array<struct<h: long, word: string, n: long>>"
+_WORDS = "lang string, words binary, row long, names array<struct<h: long, word: string, n: long>>"
+_NAME_BITS, _ROW_BITS = 22, 20  # of a name's place: its number in a row, and a row's in a task
+_PER_BUCKET, _CHUNK, _MOST_BUCKETS = 8, 16, 28
 _FLUSH = 1 << 18
 _ROWS = 1 << 15
 
@@ -50,16 +58,22 @@ _ROWS = 1 << 15
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per language and slice of texts: hashes of the words in order, and each word with its count."""
+    count, task = 0, TaskContext.get().partitionId() if TaskContext.get() else 0
     for batch in batches:
         langs = batch.column(0).fill_null("und").dictionary_encode()
         for low, high in slices(batch.column(1).cast(pa.large_string()), _SLICE):
             own = langs[low:high]
             for k in np.unique(np.asarray(own.indices)).tolist():
-                texts = batch.column(1)[low:high].filter(pa.array(np.asarray(own.indices) == k))
-                row = _words(*_flat_bytes(texts))
-                if row is not None:
-                    names = pa.ListArray.from_arrays(pa.array([0, len(row[1])], pa.int32()), row[1])
-                    yield pa.RecordBatch.from_arrays([pa.array([own.dictionary[k].as_py()]), pa.array([row[0]], pa.binary()), names], ["lang", "words", "names"])
+                row = _words(*_flat_bytes(batch.column(1)[low:high].filter(pa.array(np.asarray(own.indices) == k))))
+                if row is None:
+                    continue
+                words, names = row
+                for at in range(0, len(names), 1 << _NAME_BITS):  # a long text may have more names than a row holds
+                    part = names[at : at + (1 << _NAME_BITS)]
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
+                    place = pa.array([(task << _ROW_BITS) + count], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([own.dictionary[k].as_py()]), pa.array([b"" if at else words], pa.binary()), place, lists], ["lang", "words", "row", "names"])
+                    count += 1
 
 
 def _words(data: np.ndarray, edges: np.ndarray) -> tuple[bytes, pa.StructArray] | None:
@@ -157,8 +171,59 @@ class DoubleArray:
         return np.where(self.check[to] == state, to, -1)
 
 
-def _count(shipped, length: int, alone: bool):
-    """Counts of ``length`` words that begin, and if the trie is alone also end, with a phrase of it."""
+def _buckets(lang: str, first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed bucket of each pair of words, and the hash that says its class."""
+    salt = _U(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+    pair = mix(mix(first ^ salt) + second)
+    return (pair >> _U(64 - bits)).astype(np.int64), pair
+
+
+def _pair_buckets(bits: int, classes: int, own: int):
+    """Buckets of all pairs inside pieces, by chunk: offsets of two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = np.frombuffer(raw.as_buffer(), _U)
+                first, second = words[:-1], words[1:]
+                bucket, pair = _buckets(lang, first, second, bits)
+                held.append(bucket[(first != 0) & (second != 0) & (pair % _U(classes) == own)])
+            every = np.sort(np.concatenate([np.empty(0, np.int64), *held]))
+            chunk = every >> _CHUNK
+            at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)])
+            offsets = (every & ((1 << _CHUNK) - 1)).astype("<u2")
+            parts = [offsets[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(every)], strict=True)] if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[at]), pa.array(parts, pa.binary())], ["chunk", "offsets"])
+
+    return run
+
+
+def _full_buckets(least: int):
+    """A bitmap per chunk of the buckets with at least ``least`` pairs; rows come sorted by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, np.zeros(1 << _CHUNK, np.int64)
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())], ["chunk", "full"])
+
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if chunk != at:
+                    if at is not None:
+                        yield row()
+                    at = chunk
+                    sums[:] = 0
+                sums += np.bincount(np.frombuffer(raw.as_buffer(), "<u2"), minlength=1 << _CHUNK)
+        if at is not None:
+            yield row()
+
+    return run
+
+
+def _count(shipped, length: int, alone: bool, sieve=None):
+    """Counts of ``length`` words that begin, and if the trie is alone also end, with a phrase of it; pairs also pass the sieve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, phrases, langs, roots, trie = shipped.value
@@ -201,6 +266,10 @@ def _count(shipped, length: int, alone: bool):
                 accepts = np.zeros(n + 1, bool)
                 accepts[at] = True
                 here = (at < n) & (accepts[np.minimum(at + 1, n)] if alone else words[np.minimum(at, n - 1) + length - 1] != 0)
+                if sieve is not None:
+                    bits, classes, own, full = sieve.value
+                    bucket, pair = _buckets(lang, words[at], words[np.minimum(at + 1, len(words) - 1)], bits)
+                    here &= (pair % _U(classes) == own) & ((full[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0)
                 at, state = at[here], state[here]
                 held.append((trie.phrase[state], words[at + length - 1], np.ones(len(at), np.int64)))
                 size += len(at)
@@ -219,25 +288,44 @@ def _count(shipped, length: int, alone: bool):
 _COUNTED = "lang string, h1 long, h2 long, h3 long, h4 long, h5 long, n long"
 
 
-def _next_level(words: DataFrame, shorter: DataFrame, length: int, least: int, trie_phrases: int) -> DataFrame:
+def _sieves(words: DataFrame, n: int, least: int):
+    """For each class of pairs a broadcast (bits, classes, class, bitmap of full buckets)."""
+    spark = words.sparkSession
+    wanted = max(_CHUNK, int(np.ceil(np.log2(max(1, int(n / _PER_BUCKET)) + 1))))
+    bits, classes = min(wanted, _MOST_BUCKETS), 1 << max(0, wanted - _MOST_BUCKETS)
+    for own in range(classes):
+        found = words.select("lang", "words").mapInArrow(_pair_buckets(bits, classes, own), "chunk long, offsets binary")
+        dealt = found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_full_buckets(least), "chunk long, full binary")
+        full = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in dealt.toArrow().to_batches():  # 2^bits bits in all
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                full[chunk << (_CHUNK - 3) : (chunk + 1) << (_CHUNK - 3)] = np.frombuffer(raw.as_buffer(), np.uint8)
+        yield spark.sparkContext.broadcast((bits, classes, _U(own), full))
+
+
+def _shipped_trie(own: DataFrame, length: int):
+    """The phrases (lang, p) of ``length`` words as a broadcast trie, with the hashes that its codes stand for."""
+    part = own.select("lang", "p").toArrow().combine_chunks()  # bounded by trie_phrases
+    if not part.num_rows:
+        return None
+    one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    langs, lists = one(one(part.column(0)).dictionary_encode()), one(part.column(1))
+    phrases = np.asarray(one(lists).flatten()).view(_U).reshape(part.num_rows, length)
+    known, code = np.unique(phrases, return_inverse=True)
+    roots = np.asarray(langs.indices).astype(np.int64)
+    trie = DoubleArray(roots, code.reshape(phrases.shape).astype(np.int64), len(known))
+    return own.sparkSession.sparkContext.broadcast((known, phrases, langs.dictionary.to_pylist(), roots, trie))
+
+
+def _next_level(words: DataFrame, shorter: DataFrame, length: int, n_words: int, least: int, trie_phrases: int) -> DataFrame:
     """Phrases of ``length`` words found ``least`` times: lang, p (hashes), a."""
-    spark, counted, n = words.sparkSession, None, shorter.count()
-    tries = -(-n // trie_phrases)
+    counted, tries = None, -(-shorter.count() // trie_phrases)
+    sieves = list(_sieves(words, n_words, least)) if length == 2 else [None]
     for k in range(tries):
-        own = shorter if tries == 1 else shorter.where(F.pmod(F.xxhash64("lang", "p"), F.lit(tries)) == k)
-        part = own.select("lang", "p").toArrow().combine_chunks()  # bounded by trie_phrases
-        if not part.num_rows:
-            continue
-        coded = part.column(0).combine_chunks().dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        lists = part.column(1).combine_chunks()
-        phrases = np.asarray((lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists).flatten()).view(_U).reshape(part.num_rows, length - 1)
-        known, code = np.unique(phrases, return_inverse=True)
-        roots = np.asarray(coded.indices).astype(np.int64)
-        trie = DoubleArray(roots, code.reshape(phrases.shape).astype(np.int64), len(known))
-        shipped = spark.sparkContext.broadcast((known, phrases, coded.dictionary.to_pylist(), roots, trie))
-        found = words.select("lang", "words").mapInArrow(_count(shipped, length, tries == 1), _COUNTED)
-        counted = found if counted is None else counted.unionByName(found)
+        shipped = _shipped_trie(shorter if tries == 1 else shorter.where(F.pmod(F.xxhash64("lang", "p"), F.lit(tries)) == k), length - 1)
+        for sieve in sieves if shipped is not None else []:
+            found = words.select("lang", "words").mapInArrow(_count(shipped, length, tries == 1, sieve), _COUNTED)
+            counted = found if counted is None else counted.unionByName(found)
     keys = [f"h{k}" for k in range(1, length + 1)]
     dealt = counted.select("lang", *keys, "n").repartition("lang", *keys)  # tasks have summed their own rows already
     sums = dealt.groupBy("lang", *keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
@@ -258,14 +346,16 @@ def mine(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", lea
     if not 2 <= longest <= 5:
         raise ValueError("2 <= longest <= 5")
     words = materialize(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_encode, _WORDS), "words")
-    named = words.select("lang", F.inline("names"))
-    total = named.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = named.groupBy("lang", "h").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    levels = [materialize(frequent.select("lang", F.array("h").alias("p"), "a"), "frequent-words")]
+    named = words.select("lang", "row", F.posexplode("names").alias("k", "name")).select("lang", "name.*", (F.shiftleft("row", _NAME_BITS) + F.col("k")).alias("place"))
+    total = materialize(words.select("lang", F.aggregate("names", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    n_words = total.agg(F.sum("n")).first()[0] or 0
+    frequent = named.groupBy("lang", "h").agg(F.sum("n").alias("a"), F.min("place").alias("place")).where(F.col("a") >= least)
+    frequent = materialize(frequent, "frequent-words")
+    levels = [frequent.select("lang", F.array("h").alias("p"), "a")]
     for length in range(2, longest + 1):
         if levels[-1].isEmpty():
             break
-        levels.append(_next_level(words, levels[-1], length, least, trie_phrases))
+        levels.append(_next_level(words, levels[-1], length, n_words, least, trie_phrases))
     known, found = levels[0], levels[0].limit(0)
     for k, level in enumerate(levels[1:], 1):
         found = level if k == 1 else found.unionByName(level)
@@ -287,10 +377,10 @@ def mine(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", lea
 
     salted = Window.partitionBy("lang", F.pmod(F.xxhash64("p"), F.lit(_SALTS))).orderBy(F.desc("score"), F.desc("a"))
     best = materialize(scored.withColumn("ahead", F.rank().over(salted)).where(F.col("ahead") <= first).drop("ahead"), "best-phrases")  # ties stay for the order by phrase
-    used = best.select(F.explode("p").alias("h")).distinct()
-    names = named.select("h", "word").join(used, "h").groupBy("h").agg(F.min("word").alias("word"))
-    spelled = best.select("lang", "p", F.posexplode("p").alias("place", "h")).join(names, "h")
-    texts = spelled.groupBy("lang", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    used = best.select("lang", F.explode("p").alias("h")).distinct().join(frequent.select("lang", "h", "place"), ["lang", "h"])
+    names = named.select("place", "word").join(used, "place").select("lang", "h", "word")  # one place a word
+    spelled = best.select("lang", "p", F.posexplode("p").alias("k", "h")).join(names, ["lang", "h"])
+    texts = spelled.groupBy("lang", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = best.join(texts, ["lang", "p"]).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

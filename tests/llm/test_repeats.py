@@ -143,9 +143,11 @@ def talk():
     return [*rows, rows[0], (None, "a a a a a a a a", "en"), (7, "", "fr"), (8, None, "fr"), (9, "...", "de"), (10, "new york city hall " * 400, "en")]
 
 
-@pytest.mark.parametrize("trie_phrases", [1 << 20, 7])
-def test_collocations(spark, talk, trie_phrases):
-    """Also with many tries a level (7 phrases each)."""
+@pytest.mark.parametrize(("trie_phrases", "most"), [(1 << 20, 28), (7, 28), (1 << 20, 16)])
+def test_collocations(spark, talk, trie_phrases, most, monkeypatch):
+    """Also with many tries a level (7 phrases each), and with several classes of pairs."""
+    monkeypatch.setattr(collocations, "_MOST_BUCKETS", most)
+    monkeypatch.setattr(collocations, "_PER_BUCKET", 8 if most > 16 else 0.01)
     expected = _phrases(talk, 5, 40)
     assert len(expected) > 60
     assert _mined(spark, talk, least=5, first=40, trie_phrases=trie_phrases) == expected
