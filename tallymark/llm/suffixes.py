@@ -47,7 +47,8 @@ _PIECE = 1 << 20
 _PLACE = 28  # low bits of a sort key that hold the position
 _BATCH = 1 << 20
 _STRIDE = 32
-_SEGMENT = "k1 long, k2 long, anchor long, content long, start long, n int"
+_SEGMENT = "k1 long, k2 long, anchor long, content long, span long"  # span: start * 2^_COUNT + number of windows
+_COUNT = 16
 _BODY = "anchor long, content long, often boolean, body binary"
 _FOUND = "anchor long, content long, runs array<long>"
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -266,7 +267,7 @@ def _index(window: int, gram: int):
             for rows, base, data, edges in _pieces(batch.column(2), window):
                 row, anchor, content, start, n = _segments(data, edges, window, gram)
                 if len(row):
-                    yield pa.RecordBatch.from_pydict({"k1": k1[rows[row]], "k2": k2[rows[row]], "anchor": anchor.view(np.int64), "content": content.view(np.int64), "start": start + base, "n": n.astype(np.int32)})
+                    yield pa.RecordBatch.from_pydict({"k1": k1[rows[row]], "k2": k2[rows[row]], "anchor": anchor.view(np.int64), "content": content.view(np.int64), "span": ((start + base) << _COUNT) + n})
 
     return run
 
@@ -287,10 +288,11 @@ def _single_windows(window: int):
             data, edges = _flat_bytes(batch.column(2))
             row, of = _wanted(batch.column(3))
             for k in range(len(row)):
-                low = edges[row[k]] + of["start"][k]
-                own = _runs(_BYTES[data[low : low + of["n"][k] + window - 1]], window)
+                start, count = of["span"][k] >> _COUNT, of["span"][k] & ((1 << _COUNT) - 1)
+                low = edges[row[k]] + start
+                own = _runs(_BYTES[data[low : low + count + window - 1]], window)
                 n = len(own)
-                yield pa.RecordBatch.from_pydict({"k1": np.repeat(k1[row[k]], n), "k2": np.repeat(k2[row[k]], n), "anchor": own.view(np.int64), "content": mix(own ^ _U(_BASE)).view(np.int64), "start": of["start"][k] + np.arange(n), "n": np.ones(n, np.int32)})
+                yield pa.RecordBatch.from_pydict({"k1": np.repeat(k1[row[k]], n), "k2": np.repeat(k2[row[k]], n), "anchor": own.view(np.int64), "content": mix(own ^ _U(_BASE)).view(np.int64), "span": ((start + np.arange(n)) << _COUNT) + 1})
 
     return run
 
@@ -306,8 +308,8 @@ def _bodies(window: int):
                 continue
             key = np.stack([of["anchor"], of["content"]])
             _, once = np.unique(key, axis=1, return_index=True)  # rows alike in id and text name the same segments
-            low = edges[row[once]] + of["start"][once]
-            high = low + of["n"][once] + window - 1
+            low = edges[row[once]] + (of["span"][once] >> _COUNT)
+            high = low + (of["span"][once] & ((1 << _COUNT) - 1)) + window - 1
             held = [data[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"anchor": of["anchor"][once], "content": of["content"][once], "often": of["often"][once], "body": pa.array(held, pa.binary())})
 
@@ -382,10 +384,10 @@ def _remove(window: int):
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 40, most_kinds: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every row."""
-    if not 1 <= gram <= window:
-        raise ValueError("1 <= gram <= window")
+    if not 1 <= gram <= window < 1 << _COUNT:
+        raise ValueError("1 <= gram <= window < 2^16")
     spark, keyed = docs.sparkSession, _keyed(docs, id_col, text_col)
-    texts, place = keyed.select("k1", "k2", "text"), F.struct("k1", "k2", "start", "n")
+    texts, place = keyed.select("k1", "k2", "text"), F.struct("k1", "k2", "span")
     index_path = new_path(spark, "segments")
     index = materialize(texts.mapInArrow(_index(window, gram), _SEGMENT), "segments", path=index_path)
     again = index.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1").select("anchor")
@@ -398,7 +400,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     distinct = materialize(kinds(spans), "kinds")
     hot = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most_kinds).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
     if not hot.isEmpty():
-        split = spans.join(hot, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
+        split = spans.join(hot, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("span")).alias("wanted"))
         windows = texts.join(split.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_single_windows(window), _SEGMENT)
         windows = materialize(windows, "windows")
         same = windows.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1").select("anchor")
@@ -406,11 +408,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         spans = materialize(spans.join(hot, "anchor", "left_anti").unionByName(windows), "segments-split")
         distinct = materialize(kinds(spans), "kinds-split")
 
-    lists = distinct.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "content", "often", "start", "n")).alias("wanted"))
+    lists = distinct.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "content", "often", "span")).alias("wanted"))
     bodies = texts.join(lists.hint("shuffle_hash"), ["k1", "k2"]).select("text", "wanted").mapInArrow(_bodies(window), _BODY)
     found = bodies.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sorted_segments(window), _FOUND)
     found = materialize(found, "repeated-windows")
-    runs = F.transform("runs", lambda x: x + F.shiftleft("start", 32)).alias("runs")
+    runs = F.transform("runs", lambda x: x + F.shiftleft(F.shiftright("span", _COUNT), 32)).alias("runs")
     removed = spans.join(found, ["anchor", "content"]).select("k1", "k2", runs).groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     joined = keyed.join(removed.hint("shuffle_hash"), ["k1", "k2"], "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(_remove(window), _KEPT)
