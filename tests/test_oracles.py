@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallymark.plans import manifests, proposals, queries, regions, reviews, scores
+from tallymark.plans import manifests, monitoring, proposals, queries, regions, reviews, scores
 
-PLANS = (queries, proposals, manifests, regions, reviews, scores)
+PLANS = (queries, proposals, manifests, regions, reviews, monitoring, scores)
 QUERIES, ORACLES = ({k: x for own in PLANS for k, x in getattr(own, kind).items()} for kind in ("QUERIES", "ORACLES"))
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
