@@ -35,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, settings
 from .suffixes import _flat_bytes
 from .wordhash import _word_hashes, mix, slices
 
 _U = np.uint64
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _SALTS = 32
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -50,6 +50,7 @@ _WORDS = "lang string, words binary, row long, names array<struct<h: long, word:
 _NAME_BITS, _ROW_BITS = 22, 20  # of a name's place: its number in a row, and a row's in a task
 _PER_BUCKET, _CHUNK, _MOST_BUCKETS = 8, 16, 28
 _FLUSH = 1 << 18
+_TEXTS, _LONG_ROWS = "1000", "8"  # rows that go to a Python worker at a time
 _ROWS = 1 << 15
 
 
@@ -345,7 +346,9 @@ def mine(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", lea
     """lang, rank, phrase, a, l, r, n, score: each language's ``first`` phrases of 2 to ``longest`` words by score."""
     if not 2 <= longest <= 5:
         raise ValueError("2 <= longest <= 5")
-    words = materialize(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_encode, _WORDS), "words")
+    spark = docs.sparkSession
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=_TEXTS):
+        words = materialize(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_encode, _WORDS), "words")
     named = words.select("lang", "row", F.posexplode("names").alias("k", "name")).select("lang", "name.*", (F.shiftleft("row", _NAME_BITS) + F.col("k")).alias("place"))
     total = materialize(words.select("lang", F.aggregate("names", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     n_words = total.agg(F.sum("n")).first()[0] or 0
@@ -355,7 +358,8 @@ def mine(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", lea
     for length in range(2, longest + 1):
         if levels[-1].isEmpty():
             break
-        levels.append(_next_level(words, levels[-1], length, n_words, least, trie_phrases))
+        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=_LONG_ROWS):
+            levels.append(_next_level(words, levels[-1], length, n_words, least, trie_phrases))
     known, found = levels[0], levels[0].limit(0)
     for k, level in enumerate(levels[1:], 1):
         found = level if k == 1 else found.unionByName(level)
