@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from .segment import _OTHER, _STARTS
+from .segment import _OTHER, _STARTS, least_confidence, starts_field
 
 LINE_STEP, BLOCK_GAP = 3.0, 12.0  # fixed values, in points
 
@@ -55,13 +55,33 @@ def pdf_blocks(lines: DataFrame) -> DataFrame:
     """doc_id, page, block (from 1), text and box: a block ends before a labelled line or a gap of more than 12."""
     own = Window.partitionBy("doc_id", "page").orderBy("line")
     gap = F.coalesce(F.col("top") - F.lag("bottom").over(own) > BLOCK_GAP, F.lit(True))
-    begins = lines.withColumn("begins", F.col("text").rlike(_STARTS) | gap)
+    begins = lines.withColumn("begins", starts_field(F.col("text")) | gap)
     numbered = begins.withColumn("block", F.sum(F.col("begins").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     held = F.array_sort(F.collect_list(F.struct("line", "text")))
     out = numbered.groupBy("doc_id", "page", "block").agg(held.alias("held"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
     return out.select("doc_id", "page", "block", F.array_join(F.transform("held", lambda x: x["text"]), "\n").alias("text"), "x0", "top", "x1", "bottom")
 
 
+def ocr_blocks(lines: DataFrame, *, scale: float = 1.0) -> DataFrame:
+    """doc_id, paragraph, block (from 1), text, boxes, confidence and x0, top, x1, bottom (around all boxes).
+
+    ``lines``: doc_id, paragraph, at (the reader's order), text, x0, top, x1,
+    bottom, confidence in percent.  Boxes are divided by ``scale``; lines stand
+    in order of (at, top, x0), and one that begins with a label opens a block of
+    its paragraph.  The confidence is the least of the lines', null if one is.
+    """
+    box = F.struct(*((F.col(k) / scale).alias(k) for k in ("x0", "top", "x1", "bottom")))
+    own = Window.partitionBy("doc_id", "paragraph").orderBy("at", "box.top", "box.x0", "text")
+    rows = lines.select("doc_id", "paragraph", "at", F.coalesce("text", F.lit("")).alias("text"), box.alias("box"), "confidence").withColumn("line", F.row_number().over(own))
+    opens = (starts_field(F.col("text")) | (F.col("line") == 1)).cast("int")
+    rows = rows.withColumn("block", F.sum(opens).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    held = F.array_sort(F.collect_list(F.struct("line", "text", "box"))).alias("held")
+    around = [F.min("box.x0").alias("x0"), F.min("box.top").alias("top"), F.max("box.x1").alias("x1"), F.max("box.bottom").alias("bottom")]
+    out = rows.groupBy("doc_id", "paragraph", "block").agg(held, least_confidence(F.col("confidence")).alias("confidence"), *around)
+    text = F.array_join(F.transform("held", lambda x: x["text"]), "\n")
+    return out.select("doc_id", "paragraph", "block", text.alias("text"), F.transform("held", lambda x: x["box"]).alias("boxes"), "confidence", "x0", "top", "x1", "bottom")
+
+
 def table_text(cells: DataFrame) -> DataFrame:
     """doc_id, item, text of a table row's paragraphs (doc_id, item, cell, paragraph, text); blank ones and cells without others are left out."""
     some = cells.where(F.col("text").rlike(r"(?U)\S"))

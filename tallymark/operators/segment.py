@@ -11,15 +11,30 @@ from ..functions import labels as L
 _BREAKS = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
 _EVERY = [x for own in L.LABELS.values() for x in own] + list(L.BOUNDARY_LABELS)
 _STARTS = rf"(?iU)^\s*(?:{L.alternatives(_EVERY)})(?:\s*\([^()\r\n]*\))*\s*[:=|\t]"
+_VALUED = rf"(?iU)^\s*(?:{L.alternatives(_EVERY)})(?:\s*\([^()\r\n]*\))*\.?(?:\s*[:=|]\s*|\s+)\S"
+_BOUNDARY = rf"(?iU)^\s*(?:{L.alternatives(L.BOUNDARY_LABELS)})(?=\s|[:=|]|\z)"
+MARGIN_LABEL = 81  # fixed value: characters before the colon of a label that is not known
 _OTHER = r"(?U)^[A-Z][\w /.&'()-]{1,60}:\s*\S"
 _MALAY = ("dan", "yang", "untuk", "kepada", "dengan", "pelabuhan", "berat", "tarikh", "nombor", "pengirim", "penerima", "kontena")
 
 
+def starts_field(line: Column) -> Column:
+    """Whether a line begins with a known label, with or without a sign before its value, or one that bounds the fields."""
+    return line.rlike(_VALUED) | line.rlike(_BOUNDARY)
+
+
+def starts_text(line: Column) -> Column:
+    """Also whether it begins, at the margin, with any label, a colon and a value; indented lines go on."""
+    colon = F.instr(line, ":")
+    value = F.substring(line, colon + 1, F.char_length(line))
+    return starts_field(line) | (colon.between(2, MARGIN_LABEL + 1) & line.rlike(r"(?U)^\S") & value.rlike(r"(?U)\S"))
+
+
 def text_blocks(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, block (from 1), line_start, line_end, text: a block ends before a blank line or a labelled line."""
     lines = texts.select(F.col(id_col), F.posexplode(F.split(F.regexp_replace(F.coalesce(text_col, F.lit("")), "^\\uFEFF", ""), _BREAKS, -1)).alias("at", "line"))
     blank = F.col("line").rlike(r"(?U)^\s*\z")
-    labelled = F.col("line").rlike(_STARTS) | F.col("line").rlike(_OTHER)
+    labelled = starts_text(F.col("line"))
     own = Window.partitionBy(id_col).orderBy("at")
     lines = lines.withColumn("blank", blank)
     begins = ~F.col("blank") & (labelled | F.coalesce(F.lag("blank").over(own), F.lit(True)))
