@@ -48,8 +48,8 @@ _BLANK = _ENDS.copy()
 _BLANK[[9, 32]] = True
 _WORDS = "lang string, words binary, row long, names array<struct<h: long, word: string, n: long>>"
 _NAME_BITS, _ROW_BITS = 22, 20  # of a name's place: its number in a row, and a row's in a task
-_PER_BUCKET, _CHUNK, _MOST_BUCKETS = 8, 16, 28
-_FLUSH = 1 << 18
+_PER_BUCKET, _CHUNK, _MOST_BUCKETS = 4, 16, 28
+_FLUSH = 1 << 19
 _TEXTS, _LONG_ROWS = "1000", "8"  # rows that go to a Python worker at a time
 _ROWS = 1 << 15
 

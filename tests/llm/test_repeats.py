@@ -147,7 +147,7 @@ def talk():
 def test_collocations(spark, talk, trie_phrases, most, monkeypatch):
     """Also with many tries a level (7 phrases each), and with several classes of pairs."""
     monkeypatch.setattr(collocations, "_MOST_BUCKETS", most)
-    monkeypatch.setattr(collocations, "_PER_BUCKET", 8 if most > 16 else 0.01)
+    monkeypatch.setattr(collocations, "_PER_BUCKET", 4 if most > 16 else 0.01)
     expected = _phrases(talk, 5, 40)
     assert len(expected) > 60
     assert _mined(spark, talk, least=5, first=40, trie_phrases=trie_phrases) == expected
