@@ -7,11 +7,11 @@ can begin and end with, are broadcast as a double-array trie, ``t = base[s] + c`
 with ``check[t] = s``.  numpy moves the states of all text positions by one word
 at a time; where a position *and* the one after it end in accepting states, a
 candidate of k words stands.  A task counts the pairs of accepting state and
-next word with ``bincount``, and Spark sums the tasks' counts.  Most pairs of
-frequent words are rare, so a first pass counts pairs in hashed buckets, about
-one for every ``_PER_BUCKET`` words; a pair in a bucket of fewer than ``least``
-is no candidate.  Full buckets are a bitmap of at most 2^``_MOST_BUCKETS`` bits;
-larger corpora take as many passes, each for a class of pairs by hash.
+next word with ``bincount``, and Spark sums the tasks' counts.  Most phrases of
+frequent parts are rare, so a pass before counts them in hashed buckets, about
+one for every ``_PER_BUCKET`` words; a phrase in a bucket of fewer than
+``least`` is no candidate.  Full buckets are a bitmap of 2^``_MOST_BUCKETS``
+bits at most; larger corpora take several passes, each for a class by hash.
 
 A broadcast trie holds ``trie_phrases`` phrases at most.  More are dealt to
 several tries by hash, each with a pass of its own over the words; the check of
@@ -172,24 +172,28 @@ class DoubleArray:
         return np.where(self.check[to] == state, to, -1)
 
 
-def _buckets(lang: str, first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed bucket of each pair of words, and the hash that says its class."""
-    salt = _U(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
-    pair = mix(mix(first ^ salt) + second)
-    return (pair >> _U(64 - bits)).astype(np.int64), pair
+def _buckets(lang: str, words: np.ndarray, at: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed bucket of the ``length`` words from each place on, and the hash that says their class."""
+    phrase = mix(words[at] ^ _U(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")))
+    for k in range(1, length):
+        phrase = mix(phrase + words[at + k])
+    return (phrase >> _U(64 - bits)).astype(np.int64), phrase
 
 
-def _pair_buckets(bits: int, classes: int, own: int):
-    """Buckets of all pairs inside pieces, by chunk: offsets of two bytes each."""
+def _phrase_buckets(length: int, bits: int, classes: int, own: int):
+    """Buckets of all phrases of ``length`` words inside pieces, by chunk: offsets of two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = []
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = np.frombuffer(raw.as_buffer(), _U)
-                first, second = words[:-1], words[1:]
-                bucket, pair = _buckets(lang, first, second, bits)
-                held.append(bucket[(first != 0) & (second != 0) & (pair % _U(classes) == own)])
+                filled = words != 0
+                inside = filled[: max(0, len(words) - length + 1)].copy()
+                for k in range(1, length):
+                    inside &= filled[k : k + len(inside)]
+                bucket, phrase = _buckets(lang, words, np.flatnonzero(inside), length, bits)
+                held.append(bucket[phrase % _U(classes) == own])
             every = np.sort(np.concatenate([np.empty(0, np.int64), *held]))
             chunk = every >> _CHUNK
             at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)])
@@ -201,7 +205,7 @@ def _pair_buckets(bits: int, classes: int, own: int):
 
 
 def _full_buckets(least: int):
-    """A bitmap per chunk of the buckets with at least ``least`` pairs; rows come sorted by chunk."""
+    """A bitmap per chunk of the buckets with at least ``least`` phrases; rows come sorted by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sums = None, np.zeros(1 << _CHUNK, np.int64)
@@ -223,11 +227,12 @@ def _full_buckets(least: int):
     return run
 
 
-def _count(shipped, length: int, alone: bool, sieve=None):
-    """Counts of ``length`` words that begin, and if the trie is alone also end, with a phrase of it; pairs also pass the sieve."""
+def _count(shipped, length: int, alone: bool, sieve):
+    """Counts of ``length`` words that begin, and if the trie is alone also end, with a phrase of it, and pass the sieve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, phrases, langs, roots, trie = shipped.value
+        bits, classes, own, full = sieve.value
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
@@ -267,10 +272,9 @@ def _count(shipped, length: int, alone: bool, sieve=None):
                 accepts = np.zeros(n + 1, bool)
                 accepts[at] = True
                 here = (at < n) & (accepts[np.minimum(at + 1, n)] if alone else words[np.minimum(at, n - 1) + length - 1] != 0)
-                if sieve is not None:
-                    bits, classes, own, full = sieve.value
-                    bucket, pair = _buckets(lang, words[at], words[np.minimum(at + 1, len(words) - 1)], bits)
-                    here &= (pair % _U(classes) == own) & ((full[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0)
+                at, state = at[here], state[here]
+                bucket, phrase = _buckets(lang, words, at, length, bits)
+                here = (phrase % _U(classes) == own) & ((full[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0)
                 at, state = at[here], state[here]
                 held.append((trie.phrase[state], words[at + length - 1], np.ones(len(at), np.int64)))
                 size += len(at)
@@ -289,13 +293,13 @@ def _count(shipped, length: int, alone: bool, sieve=None):
 _COUNTED = "lang string, h1 long, h2 long, h3 long, h4 long, h5 long, n long"
 
 
-def _sieves(words: DataFrame, n: int, least: int):
-    """For each class of pairs a broadcast (bits, classes, class, bitmap of full buckets)."""
+def _sieves(words: DataFrame, length: int, n: int, least: int):
+    """For each class of phrases a broadcast (bits, classes, class, bitmap of full buckets)."""
     spark = words.sparkSession
     wanted = max(_CHUNK, int(np.ceil(np.log2(max(1, int(n / _PER_BUCKET)) + 1))))
     bits, classes = min(wanted, _MOST_BUCKETS), 1 << max(0, wanted - _MOST_BUCKETS)
     for own in range(classes):
-        found = words.select("lang", "words").mapInArrow(_pair_buckets(bits, classes, own), "chunk long, offsets binary")
+        found = words.select("lang", "words").mapInArrow(_phrase_buckets(length, bits, classes, own), "chunk long, offsets binary")
         dealt = found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_full_buckets(least), "chunk long, full binary")
         full = np.zeros(1 << (bits - 3), np.uint8)
         for batch in dealt.toArrow().to_batches():  # 2^bits bits in all
@@ -321,7 +325,7 @@ def _shipped_trie(own: DataFrame, length: int):
 def _next_level(words: DataFrame, shorter: DataFrame, length: int, n_words: int, least: int, trie_phrases: int) -> DataFrame:
     """Phrases of ``length`` words found ``least`` times: lang, p (hashes), a."""
     counted, tries = None, -(-shorter.count() // trie_phrases)
-    sieves = list(_sieves(words, n_words, least)) if length == 2 else [None]
+    sieves = list(_sieves(words, length, n_words, least))
     for k in range(tries):
         shipped = _shipped_trie(shorter if tries == 1 else shorter.where(F.pmod(F.xxhash64("lang", "p"), F.lit(tries)) == k), length - 1)
         for sieve in sieves if shipped is not None else []:
