@@ -16,7 +16,9 @@ def decide(cases: DataFrame) -> DataFrame:
     """Adds status, review_reason, has_defect, defect_fields and blocker (exactly one of status and blocker is null).
 
     ``cases``: accepted, processing, report_present, report_current, pair_valid,
-    complete, mismatches, unresolved, issues (of unresolved readings), n_attachments.
+    complete, mismatches, unresolved, issues (of unresolved readings), and for
+    cases without a report either ``no_report_reason`` (``issues.reason_without_report``;
+    null where the pair should have been compared) or just n_attachments.
     """
     some = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
     issues = F.coalesce("issues", F.array().cast("array<string>"))
@@ -25,12 +27,14 @@ def decide(cases: DataFrame) -> DataFrame:
     unreadable = F.array_contains(issues, "low_ocr_confidence") & ~mismatch
     odd = F.exists(issues, lambda x: ~x.isin(*MISSING_ISSUES) & ~((x == "low_ocr_confidence") & ~mismatch))
     soft = F.forall(issues, lambda x: x.isin(*SELECTION_ISSUES)) & (F.size(issues) > 0)
+    known = "no_report_reason" in cases.columns
+    alone = F.col("no_report_reason") if known else F.when(F.col("n_attachments") == 0, "missing_attachment")
     compare = F.col("accepted") == "BL_COMPARISON"
     blocker = (
         F.when(F.col("processing") != "completed", "processing_incomplete")
         .when(F.col("accepted").isNull(), "category_unresolved")
         .when(~compare, None)
-        .when(~F.col("report_present"), F.when(F.col("n_attachments") == 0, None).otherwise("comparison_missing"))
+        .when(~F.col("report_present"), F.when(alone.isNull(), "comparison_missing"))
         .when(~F.col("pair_valid"), "pairing_unresolved")
         .when(~F.col("report_current"), "comparison_missing")
         .when(~F.col("complete"), "report_incomplete")
@@ -38,7 +42,7 @@ def decide(cases: DataFrame) -> DataFrame:
         .when(~mismatch & unresolved & odd, "review_reason_unrepresentable")
         .when(~mismatch & missing & unreadable, "multiple_review_reasons_unrepresentable")
     )
-    reason = F.when(blocker.isNull() & compare, F.when(~F.col("report_present"), "missing_attachment").when(missing, "missing_value").when(unreadable, "unreadable"))
+    reason = F.when(blocker.isNull() & compare, F.when(~F.col("report_present"), alone).when(missing, "missing_value").when(unreadable, "unreadable"))
     defect = blocker.isNull() & compare & F.col("report_present") & reason.isNull() & mismatch
     status = F.when(blocker.isNull(), F.when(reason.isNotNull(), "NEEDS_REVIEW").when(defect, "MISMATCH").otherwise("OK"))
     out = cases.withColumn("blocker", blocker).withColumn("review_reason", reason).withColumn("status", status)
