@@ -19,7 +19,7 @@ becomes a segment of its own, with the window's hash as anchor, so no group
 grows with the corpus.
 
 What is shuffled is a row per segment (about one in 80 bytes), the distinct
-segments of repeated anchors, and the texts twice.  Segments count as equal when
+segments of repeated anchors, and, twice, the texts that hold some of them.  Segments count as equal when
 two 64-bit hashes are (chance 2^-128 a pair); windows are compared by bytes.
 
 Defined results: a null text is empty; equal rows are repeats of each other;
@@ -47,6 +47,7 @@ _PIECE = 1 << 20
 _PLACE = 28  # low bits of a sort key that hold the position
 _BATCH = 1 << 20
 _STRIDE = 32
+_MOST_BITS = 28
 _SEGMENT = "k1 long, k2 long, anchor long, content long, span long"  # span: start * 2^_COUNT + number of windows
 _COUNT = 16
 _BODY = "anchor long, content long, often boolean, body binary"
@@ -382,6 +383,22 @@ def _remove(window: int):
     return run
 
 
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``marked``, true for all whose k2 is among the keys' and for few others: a bitmap of at most 2^``_MOST_BITS`` bits.
+
+    Texts that have nothing to meet so stay where they are; with more keys than
+    bits more of them travel, and results are the same.
+    """
+    bits = 1 << min(_MOST_BITS, max(15, (8 * keys.count()).bit_length()))
+    place = F.pmod("k2", F.lit(bits))
+    bucket, position = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = keys.select(bucket.alias("bucket"), position.alias("position")).groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("map"))
+    met = rows.withColumn("bucket", bucket).join(F.broadcast(maps), "bucket", "left").withColumn("position", position)
+    byte = "cast(conv(hex(substring(map, cast(position div 8 as int) + 1, 1)), 16, 10) as int)"
+    marked = F.coalesce(F.expr(f"shiftright({byte}, cast(position % 8 as int)) & 1 = 1"), F.lit(False))
+    return met.withColumn("marked", marked).drop("bucket", "position", "map")
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 40, most_kinds: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every row."""
     if not 1 <= gram <= window < 1 << _COUNT:
@@ -400,8 +417,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     distinct = materialize(kinds(spans), "kinds")
     hot = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most_kinds).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
     if not hot.isEmpty():
-        split = spans.join(hot, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("span")).alias("wanted"))
-        windows = texts.join(split.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_single_windows(window), _SEGMENT)
+        split = materialize(spans.join(hot, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("span")).alias("wanted")), "hot-spans")
+        windows = _marked(texts, split).where("marked").join(split.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_single_windows(window), _SEGMENT)
         windows = materialize(windows, "windows")
         same = windows.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1").select("anchor")
         windows = windows.join(same, "anchor").select(spans.columns)
@@ -409,10 +426,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         distinct = materialize(kinds(spans), "kinds-split")
 
     lists = distinct.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "content", "often", "span")).alias("wanted"))
-    bodies = texts.join(lists.hint("shuffle_hash"), ["k1", "k2"]).select("text", "wanted").mapInArrow(_bodies(window), _BODY)
+    bodies = _marked(texts, distinct).where("marked").join(lists.hint("shuffle_hash"), ["k1", "k2"]).select("text", "wanted").mapInArrow(_bodies(window), _BODY)
     found = bodies.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sorted_segments(window), _FOUND)
     found = materialize(found, "repeated-windows")
     runs = F.transform("runs", lambda x: x + F.shiftleft(F.shiftright("span", _COUNT), 32)).alias("runs")
     removed = spans.join(found, ["anchor", "content"]).select("k1", "k2", runs).groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    joined = keyed.join(removed.hint("shuffle_hash"), ["k1", "k2"], "left")
-    return joined.select("doc_id", "text", "runs").mapInArrow(_remove(window), _KEPT)
+    removed = materialize(removed, "removed")
+    marked = _marked(keyed, removed)
+    touched = marked.where("marked").join(removed.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "runs")
+    whole = marked.where("not marked").select("doc_id", "text", F.lit(None).cast("array<long>").alias("runs"))
+    return touched.unionByName(whole).mapInArrow(_remove(window), _KEPT)
