@@ -51,6 +51,7 @@ _NAME_BITS, _ROW_BITS = 22, 20  # of a name's place: its number in a row, and a
 _PER_BUCKET, _CHUNK, _MOST_BUCKETS = 4, 16, 28
 _FLUSH = 1 << 19
 _TEXTS, _LONG_ROWS = "1000", "8"  # rows that go to a Python worker at a time
+_TASK_BYTES = "128m"  # words that a task sums before it gives its counts
 _ROWS = 1 << 15
 
 
@@ -362,7 +363,7 @@ def mine(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", lea
     for length in range(2, longest + 1):
         if levels[-1].isEmpty():
             break
-        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=_LONG_ROWS):
+        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=_LONG_ROWS, spark__sql__files__maxPartitionBytes=_TASK_BYTES):
             levels.append(_next_level(words, levels[-1], length, n_words, least, trie_phrases))
     known, found = levels[0], levels[0].limit(0)
     for k, level in enumerate(levels[1:], 1):
