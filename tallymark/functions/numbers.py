@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from . import labels as L
 
-_BESIDE = r"[\w.,/-]"  # next to such a character a number belongs to something longer
-_NUMBER = rf"(?U)(?<!{_BESIDE}){L.GROUPED}{L.FRACTION}(?!{_BESIDE})"
+_TOKEN = r"(?U)[\w.,/-]+"  # what stands together
+_NUMBER = rf"^{L.GROUPED}{L.FRACTION}\z"
 _TONNES = L.TONNES + L.TONNE_SIGNS
 _UNIT = rf"(?i)(?<![A-Za-z])(?:{L.alternatives(L.KILOGRAMS + L.KILOGRAM_SIGNS + _TONNES)})(?![A-Za-z])"
 _AFTER_BREAK = r"(?<=\r\n)|(?<=[\n\x0B\x0C\x1C\x1D\x1E\x85  ])|(?<=\r)(?!\n)"
@@ -36,7 +36,7 @@ def numeric_candidates(blocks: DataFrame, *, keys: list[str]) -> DataFrame:
     units = lines.select(*keys, "block", "at", offset.alias("offset"), "line", _spans(F.col("line"), _UNIT).alias("units"))
     scales = F.array_distinct(F.transform("units", lambda x: F.lower(x["value"]).isin(*_TONNES)))
     unit = F.when(F.size(scales) == 1, F.get("units", F.lit(0)))
-    rows = units.withColumn("u", unit).select(*keys, "block", "at", "offset", "line", "u", F.explode(_spans(F.col("line"), _NUMBER)).alias("n"))
+    rows = units.withColumn("u", unit).select(*keys, "block", "at", "offset", "line", "u", F.explode(F.filter(_spans(F.col("line"), _TOKEN), lambda x: x["value"].rlike(_NUMBER))).alias("n"))
     reading = Window.partitionBy(*keys)
     numbered = rows.withColumn("number", F.row_number().over(reading.orderBy("block", "at", "n.start"))).withColumn("total", F.count("*").over(reading))
     start = F.col("offset") + F.col("n.start")
