@@ -221,7 +221,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256
     part = vectors.where(fits & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), values.alias("v"), asked.alias("asked"))
     part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n_blocks = max(1, -(-part.count() // block))
-    left = part.select((F.abs(F.hash("row")) % n_blocks).alias("b"), F.lit(False).alias("asked"), "vec_id", "v")
+    left = part.select(F.pmod(F.hash("row"), F.lit(n_blocks)).alias("b"), F.lit(False).alias("asked"), "vec_id", "v")
     right = part.where("asked").select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "asked", "vec_id", "v")
     tasks = min(n_blocks, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     met = left.unionByName(right).repartitionByRange(tasks, "b").sortWithinPartitions("b", "asked")  # by range, blocks are dealt evenly
