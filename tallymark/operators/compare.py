@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +64,15 @@ def in_order(flag: Column) -> Column:
     return F.transform(held, lambda x: x["f"])
 
 
+def in_one_row(rows: DataFrame, *names: str) -> DataFrame:
+    """A row per case: each column's values of the fields in official order, between bars, a dash for none."""
+    ordinal = F.array_position(F.array(*map(F.lit, L.FIELDS)), F.col("field"))
+    held = lambda name: F.sort_array(F.collect_list(F.struct(ordinal.alias("o"), F.coalesce(name, F.lit("-")).alias("v"))))
+    return rows.groupBy("case_id").agg(*(F.array_join(F.transform(held(name), lambda x: x["v"]), "|").alias(name) for name in names))
+
+
 def report_facts(found: DataFrame) -> DataFrame:
     """Per case: mismatches, unresolved (official order) and whether the seven fields are complete and unique."""
-    complete = (F.count("*") == len(L.FIELDS)) & (F.count_distinct("field") == len(L.FIELDS))
+    seen = [F.count_if(F.col("field") == name) == 1 for name in L.FIELDS]
+    complete = reduce(lambda a, b: a & b, seen, F.count("*") == len(L.FIELDS))
     return found.groupBy("case_id").agg(in_order(F.col("outcome") == "mismatch").alias("mismatches"), in_order(F.col("outcome") == "unresolved").alias("unresolved"), complete.alias("complete"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import mail
 from ..functions.numbers import numeric_candidates as _numeric_candidates
-from ..operators import layout, proposals, references
+from ..operators import compare, layout, proposals, references
 from ..streaming import replay_actions
 from .corpus import sql_with, table, view
-from .queries import _EMAILS, _READ, _SETS, _emails, _findings
+from .queries import _EMAILS, _ORDINAL, _READ, _SETS, _emails, _findings
 
 
 def _fields():
@@ -34,9 +34,10 @@ def cascade_steps(spark, sf_dir):
 
 
 def combined_readings(spark, sf_dir):
-    """The draft's readings first, the instruction's as those of a second reader."""
+    """The draft's readings first, the instruction's as those of a second reader; the seven of a case in one row."""
     both = proposals.combine_readers(F.col("bl_value"), F.col("bl_issue"), F.col("si_value"), F.col("si_issue"))
-    return _findings(spark, sf_dir).select("case_id", "field", both.alias("r")).select("case_id", "field", "r.*")
+    rows = _findings(spark, sf_dir).select("case_id", "field", both.alias("r")).select("case_id", "field", "r.*")
+    return compare.in_one_row(rows, "normalized", "issue", "reader")
 
 
 def selected_readings(spark, sf_dir):
@@ -122,7 +123,7 @@ _BL, _SI = _SOUND.format("bl"), _SOUND.format("si")
 ORACLES: dict[str, str] = {
     "role_choice": sql_with("c1") + " SELECT case_id, CASE WHEN case_id % 31 = 0 THEN 'BL' WHEN confidence_pct >= 80 THEN CASE WHEN case_id % 2 = 0 THEN 'SI' ELSE 'BL' END ELSE 'UNKNOWN' END AS role FROM c1",
     "cascade_steps": _EMAILS + "SELECT case_id, CASE WHEN case_id % 6 = 0 OR coalesce(accepted IS NOT NULL AND suggested <> 'GENERAL', false) THEN 'text' WHEN case_id % 3 = 0 THEN 'names' WHEN case_id % 4 = 0 THEN 'text' WHEN case_id % 6 <= 4 AND case_id % 11 <> 0 THEN 'previews' ELSE 'names' END AS step FROM e",
-    "combined_readings": _READ + f"SELECT case_id, field, CASE WHEN {_BL} THEN bl_value WHEN {_SI} THEN si_value ELSE bl_value END AS normalized, CASE WHEN {_BL} THEN CASE WHEN {_SI} AND bl_value <> si_value THEN 'provider_disagreement' END WHEN {_SI} THEN NULL ELSE bl_issue END AS issue, CASE WHEN NOT ({_BL}) AND {_SI} THEN 'second' ELSE 'first' END AS reader FROM findings",
+    "combined_readings": _READ + f", m AS (SELECT case_id, field, CASE WHEN {_BL} THEN bl_value WHEN {_SI} THEN si_value ELSE bl_value END AS normalized, CASE WHEN {_BL} THEN CASE WHEN {_SI} AND bl_value <> si_value THEN 'provider_disagreement' END WHEN {_SI} THEN NULL ELSE bl_issue END AS issue, CASE WHEN NOT ({_BL}) AND {_SI} THEN 'second' ELSE 'first' END AS reader FROM findings) SELECT case_id, " + ", ".join(f"string_agg(coalesce({x}, '-'), '|' ORDER BY {_ORDINAL}) AS {x}" for x in ("normalized", "issue", "reader")) + " FROM m GROUP BY case_id",
     "selected_readings": _READ + "SELECT field, coalesce(CASE WHEN case_id % 10 = 0 THEN 'missing_value' WHEN case_id % 9 = 0 THEN 'model_uncertain' ELSE bl_issue END, 'none') AS issue, count(*) AS n, count(CASE WHEN case_id % 10 <> 0 AND case_id % 9 <> 0 THEN bl_value END) AS n_values FROM findings GROUP BY 1, 2",
     "selection_checks": "WITH x AS (SELECT l_orderkey AS case_id, CASE WHEN l_linenumber > 1 THEN l_partkey % 25 END AS id FROM lineitem) SELECT case_id, CASE WHEN count(DISTINCT id) < count(id) THEN 'repeated_source' WHEN max(id) = 24 THEN 'unknown_source' WHEN case_id % 5 <> 0 AND count(id) = 0 THEN 'no_source' END AS error FROM x GROUP BY case_id",
     "extraction_checks": "SELECT l_orderkey AS document, CASE WHEN count(*) <> 7 OR count(DISTINCT l_linenumber) <> 7 OR max(l_linenumber) > 7 THEN 'fields' WHEN bool_or(l_suppkey % 30 = 0) THEN 'reference' WHEN bool_or(l_partkey % 103 > 100) THEN 'confidence' END AS error FROM lineitem GROUP BY 1",

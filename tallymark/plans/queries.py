@@ -42,7 +42,8 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recon_findings(spark, sf_dir):
-    return _findings(spark, sf_dir).select("case_id", "field", "si_value", "bl_value", "outcome", "provisional_outcome")
+    """All findings, the seven of a case in one row."""
+    return compare.in_one_row(_findings(spark, sf_dir), "si_value", "bl_value", "outcome", "provisional_outcome")
 
 
 def recon_outcomes_by_field(spark, sf_dir):
@@ -268,7 +269,9 @@ def text_blocks(spark, sf_dir):
 
 
 def script_route(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang", segment.script_route(F.col("text")).alias("route")).agg(F.count("*").alias("n"))
+    """Documents, some with words of other languages before them."""
+    text = F.expr("CASE doc_id % 5 WHEN 1 THEN concat('收货人装货港 ', text) WHEN 2 THEN concat('收货人 ', text) WHEN 3 THEN concat('Berat dan tarikh ', text) WHEN 4 THEN concat('dan dan ', text) ELSE text END")
+    return table(spark, sf_dir, "documents").groupBy("lang", segment.script_route(text).alias("route")).agg(F.count("*").alias("n"))
 
 
 def run_status(spark, sf_dir):
@@ -319,7 +322,7 @@ SELECT email_id, ref, coalesce(m.path, CASE WHEN c = 1 THEN only_path END) AS me
 FROM r LEFT JOIN m ON m.path = r.ref LEFT JOIN n ON n.name = split_part(r.ref, '/', -1)"""
 
 ORACLES: dict[str, str] = {
-    "recon_findings": _READ + "SELECT case_id, field, si_value, bl_value, provisional_outcome AS outcome, provisional_outcome FROM findings",
+    "recon_findings": _READ + "SELECT case_id, " + ", ".join(f"string_agg(coalesce({x}, '-'), '|' ORDER BY {_ORDINAL}) AS {name}" for x, name in (("si_value", "si_value"), ("bl_value", "bl_value"), ("provisional_outcome", "outcome"), ("provisional_outcome", "provisional_outcome"))) + " FROM findings GROUP BY case_id",
     "recon_outcomes_by_field": _READ + "SELECT field, provisional_outcome AS outcome, count(*) AS n FROM findings GROUP BY 1, 2",
     "case_report_facts": _READ + "," + _FACTS + " SELECT * FROM facts",
     "weight_units": _READ + "SELECT case_id, role, normalized AS kg, unit_source FROM readings WHERE field = 'gross_weight_kg'",
@@ -356,7 +359,7 @@ ORACLES: dict[str, str] = {
     "ocr_line_confidence": r"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS a FROM documents), u AS (SELECT doc_id, unnest(a) AS word, unnest(range(len(a))) AS pos FROM s),
  v AS (SELECT *, CASE WHEN pos % 170 = 0 THEN NULL ELSE doc_id * pos % 101 END AS conf FROM u WHERE word <> '')
  SELECT doc_id, pos // 10 AS line, count(*) AS n, CASE WHEN count(*) FILTER (conf IS NULL) = 0 THEN min(conf) / 100.0::DOUBLE END AS confidence, md5(string_agg(word, ' ' ORDER BY pos)) AS text_md5 FROM v GROUP BY 1, 2""",
-    "script_route": "SELECT lang, 'english' AS route, count(*) AS n FROM documents GROUP BY 1",
+    "script_route": "SELECT lang, CASE WHEN text IS NULL THEN 'english' WHEN doc_id % 5 = 1 THEN 'chinese' WHEN doc_id % 5 = 3 THEN 'malay' ELSE 'english' END AS route, count(*) AS n FROM documents GROUP BY 1, 2",
     "run_status": sql_with("c9") + " SELECT status, count(*) AS n FROM c9 GROUP BY 1",
     "ops_metrics": sql_with("c9") + " SELECT count(*) AS n_runs, CAST(sum(attempts) AS BIGINT) AS attempts, count(*) FILTER (attempts > 1) AS retried, count(*) FILTER (status = 'queued' AND dispatched_at IS NULL) AS undispatched, min(created_at) FILTER (status = 'queued') AS oldest_queued FROM c9",
     "recoverable_runs": sql_with("c9") + f" SELECT run_id, status, attempts, CASE WHEN attempts > 0 THEN CAST(least(60, 5 * pow(2, attempts - 1)) AS INTEGER) ELSE 0 END AS delay_s FROM c9 WHERE (status = 'queued' OR (status = 'running' AND lease_until < {NOW})) AND (attempts >= 3 OR dispatched_at IS NULL OR created_at < {NOW} - INTERVAL 15 MINUTE)",
