@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bindings, layout
+from ..functions import labels as L
+from ..operators import bindings, layout, segment, selector
 from ..streaming import refresh
 from .corpus import sql_with, table, view
 from .regions import _BLOCKS
@@ -51,6 +52,16 @@ def flag_changes(spark, sf_dir):
     return refresh.differing(kept.unionByName(gone), desired, ["case_id"])
 
 
+def label_selections(spark, sf_dir):
+    """The texts of a side as one document, cut into blocks, and the block of each field chosen by its label."""
+    rows = view(spark, sf_dir, "b")
+    order = F.array_position(F.array(*map(F.lit, L.FIELDS)), F.col("field"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "text"))), lambda x: x["text"]), "\n")
+    sides = rows.groupBy((F.col("case_id") * 2 + (F.col("role") == "BL").cast("int")).alias("doc_id")).agg(text.alias("text"))
+    out = selector.select_by_label(segment.text_blocks(sides))
+    return out.select("doc_id", "field", "status", F.array_join("blocks", ",").alias("blocks")).groupBy("doc_id").agg(*(F.max(F.when(F.col("field") == f, F.concat_ws(" ", "status", "blocks"))).alias(f) for f in L.FIELDS))
+
+
 ORACLES = {
     "ocr_blocks": f"""WITH l AS (SELECT *, CAST(block % 2 AS INT) AS paragraph, top % 120 AS conf, row_number() OVER (PARTITION BY doc_id, block % 2 ORDER BY top, x0, text) AS line FROM ({_BLOCKS}) AS blocks),
 g AS (SELECT *, CAST(sum(CASE WHEN k IN (0, 3, 4) OR line = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, paragraph ORDER BY line) AS INT) AS b FROM l)
@@ -60,6 +71,7 @@ SELECT doc_id, paragraph, b AS block, string_agg(text, chr(10) ORDER BY line) AS
 v AS (SELECT *, CASE WHEN error IS NULL THEN CASE WHEN field = 'container_count' THEN CASE WHEN k IN (2, 4) THEN n END WHEN k = 0 THEN n END END AS normalized FROM e)
 SELECT doc_id, field, CASE WHEN error IS NULL THEN n END AS value, normalized, CASE WHEN field = 'gross_weight_kg' AND normalized IS NOT NULL THEN 'explicit' END AS unit_source,
   CASE WHEN error IS NULL THEN CASE WHEN normalized IS NULL THEN 'missing_value' WHEN confidence_pct < 80 THEN 'low_field_confidence' END END AS issue, error FROM v""",
+    "label_selections": sql_with("b") + ", s AS (SELECT DISTINCT case_id, k, role FROM b) SELECT case_id * 2 + CASE WHEN role = 'BL' THEN 1 ELSE 0 END AS doc_id, " + ", ".join({"consignee": "CASE WHEN role = 'BL' AND k = 11 THEN 'uncertain 2,3' ELSE 'present 2' END", "notify_party": "CASE WHEN role = 'BL' AND k = 11 THEN 'missing ' ELSE 'present 3' END"}.get(f, f"'present {n}'") + f" AS {f}" for n, f in enumerate(L.FIELDS, 1)) + " FROM s",
     "flag_changes": sql_with("c1") + """, d AS (SELECT case_id, confidence_pct >= 80 AS accepted, workflow FROM c1)
 SELECT case_id, CASE WHEN case_id % 13 = 0 THEN 'added' ELSE 'changed' END AS change FROM d WHERE case_id % 13 = 0 OR case_id % 7 = 0 OR case_id % 11 = 0 UNION ALL SELECT -case_id - 1, 'removed' FROM c1 WHERE case_id % 17 = 0""",
 }
