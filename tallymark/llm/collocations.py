@@ -49,7 +49,7 @@ _BLANK[[9, 32]] = True
 _WORDS = "lang string, words binary, row long, names array<struct<h: long, word: string, n: long>>"
 _NAME_BITS, _ROW_BITS = 22, 20  # of a name's place: its number in a row, and a row's in a task
 _PER_BUCKET, _CHUNK, _MOST_BUCKETS = 4, 16, 28
-_FLUSH = 1 << 19
+_FLUSH, _HELD = 1 << 19, 1 << 22  # counts, and buckets, that a task holds at a time
 _TEXTS, _LONG_ROWS = "1000", "8"  # rows that go to a Python worker at a time
 _TASK_BYTES = "128m"  # words that a task sums before it gives its counts
 _ROWS = 1 << 15
@@ -184,9 +184,17 @@ def _buckets(lang: str, words: np.ndarray, at: np.ndarray, length: int, bits: in
 def _phrase_buckets(length: int, bits: int, classes: int, own: int):
     """Buckets of all phrases of ``length`` words inside pieces, by chunk: offsets of two bytes each."""
 
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(held))
+        chunk = (every >> _CHUNK).astype(np.int64)
+        at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)])
+        offsets = (every & ((1 << _CHUNK) - 1)).astype("<u2")
+        parts = [offsets[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(every)], strict=True)] if len(at) else []
+        return pa.RecordBatch.from_arrays([pa.array(chunk[at]), pa.array(parts, pa.binary())], ["chunk", "offsets"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [np.empty(0, np.uint32)], 0
         for batch in batches:
-            held = []
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = np.frombuffer(raw.as_buffer(), _U)
                 filled = words != 0
@@ -194,13 +202,12 @@ def _phrase_buckets(length: int, bits: int, classes: int, own: int):
                 for k in range(1, length):
                     inside &= filled[k : k + len(inside)]
                 bucket, phrase = _buckets(lang, words, np.flatnonzero(inside), length, bits)
-                held.append(bucket[phrase % _U(classes) == own])
-            every = np.sort(np.concatenate([np.empty(0, np.int64), *held]))
-            chunk = every >> _CHUNK
-            at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)])
-            offsets = (every & ((1 << _CHUNK) - 1)).astype("<u2")
-            parts = [offsets[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(every)], strict=True)] if len(at) else []
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[at]), pa.array(parts, pa.binary())], ["chunk", "offsets"])
+                held.append(bucket[phrase % _U(classes) == own].astype(np.uint32))
+                size += len(held[-1])
+                if size > _HELD:
+                    yield rows(held)
+                    held, size = held[:1], 0
+        yield rows(held)
 
     return run
 
