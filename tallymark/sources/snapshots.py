@@ -14,7 +14,8 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
     The keys are not known beforehand, so an object is read as a map of its
     values' texts; a value that is no object is a problem, like a file that is
-    no object, and an id that several files hold.
+    no object, and an id that several files hold.  Spark passes over files
+    without a byte.
     """
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").cast("string").alias("text"))
     read = files.select("file", F.when(F.trim("text").startswith("{"), F.from_json("text", "map<string, string>", {"mode": "PERMISSIVE"})).alias("held"))

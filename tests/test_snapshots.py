@@ -14,7 +14,7 @@ def test_snapshots_are_read_by_id(spark, tmp_path):
     for name, body in files.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=2))
     (tmp_path / "c.json").write_text("[1, 2]")
-    (tmp_path / "d.json").write_text("")
+    (tmp_path / "d.json").write_text(" ")
     good, bad = snapshots.read_snapshot(spark, str(tmp_path / "*.json"))
     assert {r.source_id: json.loads(r.case) for r in good.collect()} == {"m1": files["a"]["m1"], "m4": {}}
     found = {(r.file, r.source_id, r.problem) for r in bad.collect()}
