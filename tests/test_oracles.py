@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallymark.plans import manifests, monitoring, places, proofs, proposals, queries, regions, reviews, scores, service
+from tallymark.plans import intake, manifests, monitoring, places, proofs, proposals, queries, regions, reviews, scores, service
 
-PLANS = (queries, proposals, manifests, regions, reviews, monitoring, places, proofs, scores, service)
+PLANS = (queries, proposals, manifests, regions, reviews, monitoring, places, proofs, scores, service, intake)
 QUERIES, ORACLES = ({k: x for own in PLANS for k, x in getattr(own, kind).items()} for kind in ("QUERIES", "ORACLES"))
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
