@@ -49,7 +49,7 @@ _BLANK[[9, 32]] = True
 _WORDS = "lang string, words binary, row long, names array<struct<h: long, word: string, n: long>>"
 _NAME_BITS, _ROW_BITS = 22, 20  # of a name's place: its number in a row, and a row's in a task
 _PER_BUCKET, _CHUNK, _MOST_BUCKETS = 4, 16, 28
-_FLUSH, _HELD = 1 << 19, 1 << 22  # counts, and buckets, that a task holds at a time
+_FLUSH, _HELD = 1 << 18, 1 << 20  # counts, and buckets, that a task holds at a time
 _TEXTS, _LONG_ROWS = "1000", "8"  # rows that go to a Python worker at a time
 _TASK_BYTES = "128m"  # words that a task sums before it gives its counts
 _ROWS = 1 << 15
@@ -186,11 +186,11 @@ def _phrase_buckets(length: int, bits: int, classes: int, own: int):
 
     def rows(held: list[np.ndarray]) -> pa.RecordBatch:
         every = np.sort(np.concatenate(held))
-        chunk = (every >> _CHUNK).astype(np.int64)
+        chunk = (every >> _CHUNK)
         at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)])
         offsets = (every & ((1 << _CHUNK) - 1)).astype("<u2")
         parts = [offsets[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(every)], strict=True)] if len(at) else []
-        return pa.RecordBatch.from_arrays([pa.array(chunk[at]), pa.array(parts, pa.binary())], ["chunk", "offsets"])
+        return pa.RecordBatch.from_arrays([pa.array(chunk[at].astype(np.int64)), pa.array(parts, pa.binary())], ["chunk", "offsets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [np.empty(0, np.uint32)], 0
@@ -362,15 +362,16 @@ def mine(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", lea
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=_TEXTS):
         words = materialize(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_encode, _WORDS), "words")
     named = words.select("lang", "row", F.posexplode("names").alias("k", "name")).select("lang", "name.*", (F.shiftleft("row", _NAME_BITS) + F.col("k")).alias("place"))
-    total = materialize(words.select("lang", F.aggregate("names", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    with settings(spark, spark__sql__parquet__columnarReaderBatchSize=_LONG_ROWS):
+        total = materialize(words.select("lang", F.aggregate("names", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+        frequent = named.groupBy("lang", "h").agg(F.sum("n").alias("a"), F.min("place").alias("place")).where(F.col("a") >= least)
+        frequent = materialize(frequent, "frequent-words")
     n_words = total.agg(F.sum("n")).first()[0] or 0
-    frequent = named.groupBy("lang", "h").agg(F.sum("n").alias("a"), F.min("place").alias("place")).where(F.col("a") >= least)
-    frequent = materialize(frequent, "frequent-words")
     levels = [frequent.select("lang", F.array("h").alias("p"), "a")]
     for length in range(2, longest + 1):
         if levels[-1].isEmpty():
             break
-        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=_LONG_ROWS, spark__sql__files__maxPartitionBytes=_TASK_BYTES):
+        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=_LONG_ROWS, spark__sql__files__maxPartitionBytes=_TASK_BYTES, spark__sql__parquet__columnarReaderBatchSize=_LONG_ROWS):
             levels.append(_next_level(words, levels[-1], length, n_words, least, trie_phrases))
     known, found = levels[0], levels[0].limit(0)
     for k, level in enumerate(levels[1:], 1):
