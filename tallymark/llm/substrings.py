@@ -1,14 +1,15 @@
-"""Removing word sequences that occur more than once (relative Lempel-Ziv parsing).
-
-Every document is parsed against blocks of all documents.  Blocks are chosen by
-content: of the windows of ``window`` words, those with the same least-hashed
-word group (the *anchor*) in a row make one block, so both copies of a passage
-are cut into the same blocks wherever they stand.  The index counts blocks by
-anchor.  Parsing is greedy: a factor grows for as long as the following block is
-one whose anchor leads to equal blocks only.  Where a factor ends, the anchor
-leads to different blocks; these are *boundary* blocks, and their windows are
-compared one by one.  Factors of at least ``window`` words are the duplicate
-spans; repeats inside one document are found where its text is read again.
+"""Removing word sequences that occur more than once (blocks cut by content).
+
+This stands in for relative Lempel-Ziv parsing: every document is compared with
+blocks of all documents, but no factor keeps a position in a reference document
+and none is extended word by word.  Blocks are chosen by content: of the windows
+of ``window`` words, those with the same least-hashed word group (the *anchor*)
+in a row make one block, so both copies of a passage are cut into the same
+blocks wherever they stand.  The index counts blocks by anchor.  Runs of blocks
+whose anchors lead to equal blocks only are duplicate spans as they stand; where
+an anchor leads to different blocks, the *boundary* of such a run, windows are
+compared one by one.  Repeats inside one document are found where its text is
+read again.
 
 What is shuffled is a row per block (about one in twelve words), a row per
 window of boundary blocks and the texts twice; hot blocks are counted before
