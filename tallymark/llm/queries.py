@@ -109,6 +109,19 @@ def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP11_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+w AS MATERIALIZED (SELECT r, i, hash(substring(h, 2 * i - 1, 400)) AS k FROM (SELECT r, h, unnest(range(1, length(h) // 2 - 198)) AS i FROM d) AS places),
+m AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM m) AS marked),
+s AS (SELECT r, g, min(i) AS a, max(i) + 199 AS b FROM g GROUP BY r, g),
+p AS (SELECT r, g, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY g), 0) AS done FROM s),
+k AS (SELECT p.r, sum(b - a + 1) AS n_removed, count(*) AS n_spans, concat(string_agg(substring(text_hex, 2 * done + 1, 2 * (a - done - 1)), '' ORDER BY g), substring(any_value(text_hex), 2 * max(b) + 1)) AS kept
+  FROM (SELECT p.*, d.h AS text_hex FROM p JOIN d ON d.r = p.r) AS p GROUP BY p.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k ON k.r = d.r
+"""
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
@@ -168,4 +181,4 @@ QUERIES = {
     "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op5_urls": OP5_SQL, "op9_topk": OP9_SQL, "op12_collocations": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op5_urls": OP5_SQL, "op9_topk": OP9_SQL, "op11_suffixes": OP11_SQL, "op12_collocations": OP12_SQL, "op13_hard_negatives": OP13_SQL}
