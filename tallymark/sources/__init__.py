@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.intake import only_expected
+
 EMAIL = "email_id string, `from` string, subject string, body string, attachments array<string>, _corrupt_record string"
 SUFFIXES = ("txt", "pdf", "docx", "xlsx", "png", "jpg", "jpeg")
 MOST_BYTES, MOST_ENTRIES, MOST_TOTAL = 10_000_000, 2000, 32_000_000
@@ -31,6 +33,15 @@ def read_emails(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason", "_corrupt_record"), marked.where("reason is not null").select("file", "reason")
 
 
+def inbox_problems(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """file, reason of what keeps an inbox from being taken as a whole: malformed files, ids that several files give, no file at all."""
+    twice = good.groupBy("email_id").agg(F.count("*").alias("n")).where("n > 1").select("email_id")
+    repeated = good.join(twice, "email_id", "left_semi").select("file", F.lit("repeated_id").alias("reason"))
+    found = bad.select("file", "reason").unionByName(repeated)
+    empty = good.select("file").unionByName(bad.select("file")).agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("file"), F.lit("empty_inbox").alias("reason"))
+    return found.unionByName(empty)
+
+
 def read_attachments(spark: SparkSession, path: str) -> DataFrame:
     """path, name, suffix, length, content of allowed files; length is filtered before content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(f"length between 1 and {MOST_BYTES}")
@@ -80,11 +91,13 @@ def expand_archives(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_members, "archive string, member string, size long, content binary, error string")
 
 
-def write_predictions(decisions: DataFrame, path: str) -> None:
-    """Write only if no row is blocked, and only to a new path."""
+def write_predictions(decisions: DataFrame, path: str, *, expected: DataFrame | None = None) -> None:
+    """Write only if no row is blocked, and only to a new path; with ``expected`` (case_id) only if exactly these cases are there, once each."""
     blocked = decisions.where("blocker is not null").limit(1).count()
     if blocked:
         raise ValueError("some cases can't be exported; see the diagnostics")
+    if expected is not None and not only_expected(expected.select("case_id"), decisions.select("case_id"), "case_id").isEmpty():
+        raise ValueError("cases are missing, unexpected or repeated")
     decisions.select("case_id", "status", "review_reason", "has_defect", "defect_fields").write.mode("errorifexists").json(path)
 
 

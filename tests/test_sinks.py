@@ -40,6 +40,26 @@ def test_predictions_are_written_whole_and_once(spark, tmp_path):
     assert {r["outcome"]: r["count"] for r in _lines(tmp_path / "d")} == {"OK": 1, "MISMATCH": 1, "pairing_unresolved": 1}
 
 
+def test_predictions_are_of_the_expected_cases(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "OK", None, False, [], None), (2, "OK", None, False, [], None)], DECISION)
+    ids = lambda *own: spark.createDataFrame([(i,) for i in own], "case_id int")
+    for decided, expected in ((rows, ids(1)), (rows, ids(1, 2, 3)), (rows.unionByName(rows.where("case_id = 1")), ids(1, 2))):
+        with pytest.raises(ValueError, match="missing, unexpected or repeated"):
+            sources.write_predictions(decided, str(tmp_path / "p"), expected=expected)
+    sources.write_predictions(rows, str(tmp_path / "p"), expected=ids(2, 1))
+    assert len(_lines(tmp_path / "p")) == 2
+
+
+def test_what_keeps_an_inbox_from_being_taken(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, ident in (("a", "1"), ("b", "1"), ("c", "2"), ("d", "")):
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps({"email_id": ident, "from": "x", "subject": "s", "body": "b", "attachments": []}))
+    good, bad = sources.read_emails(spark, str(tmp_path / "in"))
+    assert {(r.file, r.reason) for r in sources.inbox_problems(good, bad).collect()} == {("a.json", "repeated_id"), ("b.json", "repeated_id"), ("d.json", "email_id")}
+    assert sources.inbox_problems(good.where("email_id = '2'"), bad.limit(0)).collect() == []
+    assert [tuple(r) for r in sources.inbox_problems(good.limit(0), bad.limit(0)).collect()] == [(None, "empty_inbox")]
+
+
 def _feed(spark, path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
