@@ -89,7 +89,9 @@ def pair_requests(cases: DataFrame, blocks: DataFrame, policy: str) -> DataFrame
     ``blocks``: case_id, role, block, text, method, ocr (0 to 1).  A case asks
     about the identifier-like tokens that both sides hold, 1 to 32 of them, in
     at most 80,000 bytes; text that a reader of images was unsure of gives no
-    token.  The fingerprint names the request and the policy.
+    token.  The fingerprint names the request and the policy.  A subject and
+    body beyond the bound are measured where they stand and never shuffled or
+    broadcast; only their number of bytes goes on.
     """
     sure = (F.col("method") != "ocr") | (F.coalesce("ocr", F.lit(0.0)) >= LEAST_OCR)
     found = blocks.where(sure).select("case_id", "role", F.explode(F.array_distinct(F.transform(tokens(F.col("text")), F.upper))).alias("token"))
@@ -98,9 +100,14 @@ def pair_requests(cases: DataFrame, blocks: DataFrame, policy: str) -> DataFrame
     confidence = F.when(F.col("method") == "ocr", F.coalesce("ocr", F.lit(0.0))).otherwise(1.0).alias("confidence")
     side = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("block", F.coalesce("text", F.lit("")).alias("text"), confidence)))).alias(role.lower())
     texts = blocks.groupBy("case_id").agg(side("SI"), side("BL"))
-    out = cases.where(~F.coalesce("blocked", F.lit(True))).join(shared, "case_id").join(texts, "case_id")
-    out = out.withColumn("n_shared", F.size("candidates")).withColumn("asked", F.to_json(F.struct("subject", "body", "si", "bl", "candidates"), {"ignoreNullFields": "false"}))
-    out = out.withColumn("n_bytes", F.octet_length("asked"))
+    as_json = lambda *names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    heads = cases.where(~F.coalesce("blocked", F.lit(True))).select("case_id", as_json("subject", "body").alias("head")).withColumn("head_bytes", F.octet_length("head"))
+    heads = heads.withColumn("head", F.when(F.col("head_bytes") <= MOST_REQUEST_BYTES, F.col("head")))
+    # Spark can't estimate texts that are made up on the way, so it is told not to broadcast them
+    out = heads.hint("merge").join(shared, "case_id").join(texts.hint("merge"), "case_id")
+    out = out.withColumn("n_shared", F.size("candidates")).withColumn("tail", as_json("si", "bl", "candidates"))
+    out = out.withColumn("n_bytes", F.col("head_bytes") + F.octet_length("tail") - 1)
+    asked = F.concat(F.expr("substring(head, 1, char_length(head) - 1)"), F.lit(","), F.expr("substring(tail, 2)"))
     fits = F.col("n_shared").between(1, MOST_SHARED) & (F.col("n_bytes") <= MOST_REQUEST_BYTES)
-    out = out.withColumn("request", F.when(fits, F.col("asked")))
+    out = out.withColumn("request", F.when(fits, asked))
     return out.select("case_id", "n_shared", "n_bytes", "request", F.when(fits, F.sha2(F.concat_ws("\n", F.lit(policy), "request"), 256)).alias("fingerprint"))
