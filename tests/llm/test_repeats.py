@@ -1,6 +1,7 @@
 """Suffix arrays, collocations and hard negatives against brute force, with awkward rows."""
 
 import collections
+import functools
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm import collocations, hardneg, suffixes
+from tallymark.llm import collocations, fuzzylines, hardneg, links, suffixes
 
 DOCS = "doc_id long, text string, lang string, k1 int, anchor string, rank int, a int, p int, h int"
 
@@ -235,3 +236,27 @@ def test_spanning_tree_is_a_least_one():
             total, old = total + d, group[b]
             group = [group[a] if g == old else g for g in group]
     assert abs(total - length.sum()) < 1e-6
+
+
+def test_wide_buckets_lose_no_link(spark):
+    members = spark.range(100).selectExpr("7L AS key", "id AS node").unionByName(spark.range(90, 100).selectExpr("8L AS key", "id AS node"))
+    seen = links.link(members, lambda pairs: pairs.where("a = 50 and b = 51"))
+    assert {(r.node, r.comp) for r in seen.collect()} == {(50, 50), (51, 50)}
+
+
+def test_lines_of_wide_buckets_meet_as_all_pairs_do(spark, monkeypatch):
+    draw = random.Random(3)
+    common = [f"w{k}" for k in range(12)]
+    rows = []
+    for k in range(60):
+        words = ["amber", "cedar", "delta"] + draw.sample(common, draw.choice((2, 5, 9)))
+        draw.shuffle(words)
+        text = " ".join(words)
+        rows += [(2 * k, text), (2 * k + 1, text[: draw.randrange(len(text))] + draw.choice("xyz") + text[draw.randrange(len(text)) :] if k % 3 else text.replace("w", "v", 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for narrow in (1, 10**9):
+        monkeypatch.setattr(fuzzylines, "link", functools.partial(links.link, narrow=narrow))
+        found.append({r.doc_id: r.n_removed for r in fuzzylines.remove_lines(docs).collect()})
+    assert found[0] == found[1]
+    assert sum(found[0].values()) > 20
