@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,26 +21,32 @@ _CONTAINER_ID = r"(?iU)^\s*container\s+(?:number|no\.?|id)\s*[:=|]?\s*\z"
 _WORD = "doc_id long, page int, text string, x0 double, x1 double, top double, bottom double, font string"
 
 
-def _number_lines(rows: pd.DataFrame) -> pd.DataFrame:
-    """A new line begins where ``top`` leaves that of the line's first word by more than 3."""
-    rows = rows.sort_values(["top", "x0"], kind="stable")
-    line, anchor, numbers = 0, None, []
-    for top in rows["top"]:
-        if anchor is None or abs(top - anchor) > LINE_STEP:
-            line, anchor = line + 1, top
-        numbers.append(line)
-    return rows.assign(line=numbers)
+def _number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A new line begins where ``top`` leaves that of the line's first word by more than 3; rows come page by page, in order of ``top``."""
+    page, line, anchor = None, 0, 0.0
+    for rows in batches:
+        numbers = []
+        for doc, number, top in zip(*(rows.column(k).to_pylist() for k in ("doc_id", "page", "top")), strict=True):
+            top = math.nan if top is None else top
+            if page != (doc, number):
+                page, line, anchor = (doc, number), 1, top
+            elif abs(top - anchor) > LINE_STEP:
+                line, anchor = line + 1, top
+            numbers.append(line)
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(numbers, pa.int32())], names=[*rows.schema.names, "line"])
 
 
 def pdf_lines(words: DataFrame) -> DataFrame:
     """doc_id, page, line (from 1), text, x0, top, x1, bottom of words (doc_id, page, text, x0, x1, top, bottom, font).
 
-    The fold over a page needs its order and nothing else, so it runs for each
-    page by itself; text and box of a line are aggregates.  Words that touch and
+    The fold over a page needs its order and nothing else, so it runs over
+    sorted rows with one line's state in memory, whatever the size of a page;
+    text and box of a line are aggregates.  Words that touch and
     differ in font only are joined without a blank.
     """
-    names = [x.split()[0] for x in _WORD.split(", ")]
-    numbered = words.select(names).groupBy("doc_id", "page").applyInPandas(_number_lines, _WORD + ", line int")
+    typed = words.select(*(F.col(k).cast(t) for k, t in (x.split() for x in _WORD.split(", "))))
+    ordered = typed.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", F.asc_nulls_last("top"))
+    numbered = ordered.mapInArrow(_number_lines, _WORD + ", line int")
     held = F.array_sort(F.collect_list(F.struct("x0", "top", "x1", "font", F.coalesce("text", F.lit("")).alias("text"))))
     rows = numbered.groupBy("doc_id", "page", "line").agg(held.alias("held"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
     before = lambda k: F.get("held", k - 1)
