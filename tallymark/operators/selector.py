@@ -21,10 +21,11 @@ def select_by_label(blocks: DataFrame) -> DataFrame:
     lines = F.transform(F.split("canonical", r"\r\n|[\r\n]"), strip)
     begins = lambda pattern: F.exists(lines, lambda x: x.rlike(pattern))
     held = [F.when(begins(L.leading(f)), F.lit(f)) for f in L.FIELDS]
-    found = rows.select("doc_id", "block", "text", F.explode(F.array_compact(F.array(*held))).alias("field"))
-    chosen = found.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("chosen"))
-    wanted = blocks.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, L.FIELDS))).alias("field"))
-    out = wanted.join(chosen, ["doc_id", "field"], "left")
-    status = F.when(F.col("chosen").isNull(), "missing").when(F.size("chosen") == 1, "present").otherwise("uncertain")
-    empty = F.array().cast("array<bigint>")
-    return out.select("doc_id", "field", status.alias("status"), F.coalesce(F.transform("chosen", lambda x: x["block"].cast("long")), empty).alias("blocks"), F.array_join(F.transform("chosen", lambda x: x["text"]), "\n").alias("text"))
+    found = rows.select("doc_id", "block", "text", F.array_compact(F.array(*held)).alias("fields"))
+    # the blocks are read once: a document without any label still has its row
+    docs = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "text", "fields"))).alias("all"))
+    of = lambda f: F.filter("all", lambda x: F.array_contains(x["fields"], F.lit(f)))
+    out = docs.select("doc_id", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), of(f).alias("chosen")) for f in L.FIELDS))))
+    status = F.when(F.size("chosen") == 0, "missing").when(F.size("chosen") == 1, "present").otherwise("uncertain")
+    text = F.when(F.size("chosen") > 0, F.array_join(F.transform("chosen", lambda x: x["text"]), "\n"))
+    return out.select("doc_id", "field", status.alias("status"), F.transform("chosen", lambda x: x["block"].cast("long")).alias("blocks"), text.alias("text"))

@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from tallymark.operators import layout
+from tallymark.operators import layout, selector
 
 
 def test_lines_of_a_page_go_on_over_batches():
@@ -12,3 +12,11 @@ def test_lines_of_a_page_go_on_over_batches():
     for size in (1, 2, 7):
         out = layout._number_lines(rows.slice(k, size) for k in range(0, 7, size))
         assert [n for b in out for n in b.column("line").to_pylist()] == [1, 1, 2, 2, 1, 1, 2]
+
+
+def test_blocks_are_read_once_for_labels(spark):
+    blocks = spark.createDataFrame([(1, 1, "Shipper: A"), (1, 2, "Shipper: B"), (2, 1, "none")], "doc_id long, block long, text string")
+    out = selector.select_by_label(blocks)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    found = {(r.doc_id, r.field): (r.status, r.blocks, r.text) for r in out.collect()}
+    assert len(found) == 14 and found[1, "shipper"] == ("uncertain", [1, 2], "Shipper: A\nShipper: B") and found[2, "shipper"] == ("missing", [], None)
