@@ -54,8 +54,8 @@ def bind_numbers(blocks: DataFrame, selections: DataFrame, *, least: float = LEA
     said = F.concat_ws(" ", "hit.value", "hit.unit")
     found = found.withColumn("error", error).withColumn("said", said)
     weight = F.col("field") == "gross_weight_kg"
-    value = F.when(F.col("error").isNull() & ~(weight & F.col("hit.unit").isNull()), normalize(F.col("field"), F.col("said"), F.col("said")))
-    found = found.withColumn("normalized", value)
+    found = normalize(found.withColumn("value", F.col("said")), "said")
+    found = found.withColumn("normalized", F.when(F.col("error").isNull() & ~(weight & F.col("hit.unit").isNull()), F.col("normalized")))
     unsure = F.col("confidence").isNull() | (F.col("confidence") < least)
     issue = F.when(F.col("error").isNull(), F.when(F.col("normalized").isNull(), "missing_value").when(unsure, "low_field_confidence"))
     return found.select("doc_id", "field", F.when(F.col("error").isNull(), F.col("hit.value")).alias("value"), "normalized", F.when(weight & F.col("normalized").isNotNull(), "explicit").alias("unit_source"), issue.alias("issue"), "error")

@@ -15,8 +15,8 @@ def read_values(texts: DataFrame) -> DataFrame:
     """case_id, role, field, text -> also canonical, normalized, unit_source, issue."""
     field, text, value = F.col("field"), F.col("canonical"), F.col("value")
     out = canonical_text(texts)
-    out = out.withColumn("value", value_of(field, text))
-    out = out.withColumn("normalized", normalize(field, text, value)).withColumn("issue", source_issue(field, text, value)).drop("value")
+    out = out.withColumn("value", value_of(field, text)).withColumn("low", F.lower("value"))
+    out = normalize(out).withColumn("issue", source_issue(field, text, value, F.col("low"))).drop("value", "low")
     unit = F.when((field == "gross_weight_kg") & F.col("normalized").isNotNull(), weight_unit_source(text))
     return out.withColumn("issue", F.coalesce("issue", F.when(F.col("normalized").isNull(), "missing_value"))).withColumn("unit_source", unit)
 
