@@ -25,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, settings
 from .tokens import SLICE, encoder, id_dtype
 from .wordhash import slices
 
 _PIECE = "part int, seq long, offset long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _PIECE_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 _FLUSH_WINDOWS = 500
+_TEXTS = "1000"  # a batch is held by the executor and by its Python worker
 
 
 class _Window:
@@ -204,7 +205,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     """
     run = pack_partition(tokenizer_path, size, open_windows, end_id)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialize(chosen.mapInArrow(run, _PIECE), "pieces")
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=_TEXTS):
+        pieces = materialize(chosen.mapInArrow(run, _PIECE), "pieces")
     parts = pieces.groupBy("part").agg((F.coalesce(F.max("seq"), F.lit(-1)) + 1).alias("n_full"), F.sum(F.when(F.col("seq").isNull(), F.col("length")).otherwise(0)).alias("n_rest"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition, not per document
     bases = materialize(parts.select("part", "n_full", "n_rest", F.coalesce(F.sum("n_full").over(before), F.lit(0)).alias("seq_base"), F.coalesce(F.sum("n_rest").over(before), F.lit(0)).alias("rest_base")), "bases")

@@ -19,11 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Words and pieces remembered per worker (about 200 MB); on overflow the memory starts anew.
-REMEMBERED = 1_000_000
+#: Words and pieces remembered per worker (about 120 MB); on overflow the memory starts anew.
+REMEMBERED = 600_000
 _JOINED = 2000
-#: Bytes of text encoded at a time.
-SLICE = 8 << 20
+#: Bytes of text encoded at a time; arrays of some twenty times that size come and go.
+SLICE = 2 << 20
 
 
 class Encoder:

@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 
+from tallymark.llm import packing
 from tallymark.operators import layout, selector
 
 
@@ -20,3 +21,19 @@ def test_blocks_are_read_once_for_labels(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     found = {(r.doc_id, r.field): (r.status, r.blocks, r.text) for r in out.collect()}
     assert len(found) == 14 and found[1, "shipper"] == ("uncertain", [1, 2], "Shipper: A\nShipper: B") and found[2, "shipper"] == ("missing", [], None)
+
+
+def test_packing_takes_few_texts_at_a_time(spark, monkeypatch):
+    """A batch stands in the executor's memory and in its worker's."""
+
+    def widest(*args):
+        def run(batches):
+            for b in batches:
+                yield packing._rows(0, [(0, 0, 0, 0, b"", b.num_rows, "<u4")])
+
+        return run
+
+    monkeypatch.setattr(packing, "pack_partition", widest)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "'a b' AS text")
+    taken = [r.doc_tokens for r in packing.pack_documents(docs, "").collect()]
+    assert sum(taken) == 4000 and max(taken) <= 1000
