@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from .segment import _OTHER, _STARTS, least_confidence, starts_field
+from .segment import _OTHER, _STARTS, least_confidence, runs_of, starts_field
 
 LINE_STEP, BLOCK_GAP = 3.0, 12.0  # fixed values, in points
 
@@ -80,15 +80,15 @@ def ocr_blocks(lines: DataFrame, *, scale: float = 1.0) -> DataFrame:
     its paragraph.  The confidence is the least of the lines', null if one is.
     """
     box = F.struct(*((F.col(k) / scale).alias(k) for k in ("x0", "top", "x1", "bottom")))
-    own = Window.partitionBy("doc_id", "paragraph").orderBy("at", "box.top", "box.x0", "text")
-    rows = lines.select("doc_id", "paragraph", "at", F.coalesce("text", F.lit("")).alias("text"), box.alias("box"), "confidence").withColumn("line", F.row_number().over(own))
-    opens = (starts_field(F.col("text")) | (F.col("line") == 1)).cast("int")
-    rows = rows.withColumn("block", F.sum(opens).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    held = F.array_sort(F.collect_list(F.struct("line", "text", "box"))).alias("held")
-    around = [F.min("box.x0").alias("x0"), F.min("box.top").alias("top"), F.max("box.x1").alias("x1"), F.max("box.bottom").alias("bottom")]
-    out = rows.groupBy("doc_id", "paragraph", "block").agg(held, least_confidence(F.col("confidence")).alias("confidence"), *around)
-    text = F.array_join(F.transform("held", lambda x: x["text"]), "\n")
-    return out.select("doc_id", "paragraph", "block", text.alias("text"), F.transform("held", lambda x: x["box"]).alias("boxes"), "confidence", "x0", "top", "x1", "bottom")
+    text = F.coalesce("text", F.lit(""))
+    line = F.struct("at", (F.col("top") / scale).alias("top"), (F.col("x0") / scale).alias("x0"), text.alias("text"), box.alias("box"), "confidence", starts_field(text).alias("opens"))
+    # one sort of a paragraph's lines, in its row, and none of all lines of a task
+    paragraphs = lines.groupBy("doc_id", "paragraph").agg(F.sort_array(F.collect_list(line)).alias("held"))
+    blocks = paragraphs.select("doc_id", "paragraph", F.posexplode(runs_of(F.col("held"), lambda _, x: ~x["opens"])).alias("at", "held"))
+    values = lambda k: F.transform("held", lambda x: x["box"][k])
+    around = [F.array_min(values(k)).alias(k) for k in ("x0", "top")] + [F.array_max(values(k)).alias(k) for k in ("x1", "bottom")]
+    confidence = least_confidence(F.transform("held", lambda x: x["confidence"]))
+    return blocks.select("doc_id", "paragraph", (F.col("at") + 1).cast("long").alias("block"), F.array_join(F.transform("held", lambda x: x["text"]), "\n").alias("text"), F.transform("held", lambda x: x["box"]).alias("boxes"), confidence.alias("confidence"), *around)
 
 
 def table_text(cells: DataFrame) -> DataFrame:

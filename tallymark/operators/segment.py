@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,16 +69,30 @@ def within_budget(sizes: DataFrame, *, most_cells: int = 200_000) -> DataFrame:
 
 
 def least_confidence(conf: Column) -> Column:
-    """Aggregate: the least of a group, null as soon as one is unknown or out of 0..100."""
-    bad = conf.isNull() | F.isnan(conf.cast("double")) | ~conf.between(0, 100)
-    return F.when(F.count_if(bad) == 0, F.min(conf) / 100)
-
-
-def ocr_lines(words: DataFrame) -> DataFrame:
-    """doc_id, line, text in left order, confidence, n."""
-    held = F.array_sort(F.collect_list(F.struct("x0", "word")))
-    out = words.groupBy("doc_id", "line").agg(held.alias("held"), least_confidence(F.col("conf")).alias("confidence"), F.count("*").alias("n"))
-    return out.select("doc_id", "line", F.array_join(F.transform("held", lambda x: x["word"]), " ").alias("text"), "confidence", "n")
+    """The least of an array, null as soon as one is unknown or out of 0..100."""
+    bad = F.exists(conf, lambda x: x.isNull() | F.isnan(x.cast("double")) | ~x.between(0, 100))
+    return F.when(~bad, F.array_min(conf) / 100)
+
+
+def runs_of(held: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """Array of the runs of neighbours in array ``held``; ``same`` tells whether an element goes on the run of the one before it."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | ~same(F.get(held, i - 1), F.get(held, i)))
+    cut = lambda at: F.transform(at, lambda low, k: F.slice(held, low + 1, F.coalesce(F.get(at, k + 1), F.size(held)) - low))
+    runs = F.element_at(F.transform(F.array(starts), cut), 1)  # the starts are found once
+    return F.when(F.size(held) > 0, runs).otherwise(F.slice(F.array(held), 1, 0))
+
+
+def ocr_lines(pages: DataFrame) -> DataFrame:
+    """doc_id, line, text in left order, confidence, n of pages (doc_id, words: array of line, x0, word, conf in this order).
+
+    A reader gives the words of a page together, and they stay so: lines are
+    runs of the page's sorted words, so no word is shuffled or sorted by itself.
+    Ids tell pages apart; rows of one id are put together by the caller.
+    """
+    kept = pages.select("doc_id", F.sort_array("words").alias("words"))
+    lines = kept.select("doc_id", F.explode(runs_of(F.col("words"), lambda a, b: a["line"].eqNullSafe(b["line"]))).alias("held"))
+    confidence = least_confidence(F.transform("held", lambda w: w["conf"]))
+    return lines.select("doc_id", F.get("held", F.lit(0))["line"].alias("line"), F.array_join(F.transform("held", lambda w: w["word"]), " ").alias("text"), confidence.alias("confidence"), F.size("held").cast("long").alias("n"))
 
 
 def script_route(text: Column) -> Column:

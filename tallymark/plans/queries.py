@@ -258,10 +258,16 @@ def sheet_rows(spark, sf_dir):
 
 
 def ocr_line_confidence(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[\x20\x09-\x0D]+", -1)).alias("pos", "word")).where("word <> ''")
-    conf = F.when(F.pmod(F.col("pos"), F.lit(170)) == 0, None).otherwise(F.pmod(F.col("doc_id") * F.col("pos"), F.lit(101)))
-    rows = words.select("doc_id", F.floor(F.col("pos") / 10).alias("line"), (F.col("pos") % 10 * 30).alias("x0"), "word", conf.alias("conf"))
-    return segment.ocr_lines(rows).select("doc_id", "line", "n", "confidence", F.md5("text").alias("text_md5"))
+    """Words of documents set ten to a line; texts of one id are one page."""
+    texts = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+
+    def placed(word, pos):
+        conf = F.when(pos % 170 == 0, None).otherwise(F.pmod(F.col("doc_id") * pos, F.lit(101)))
+        return F.struct(F.floor(pos / 10).alias("line"), (pos % 10 * 30).alias("x0"), word.alias("word"), conf.alias("conf"))
+
+    words = F.flatten(F.transform("texts", lambda t: F.transform(F.split(t, r"[\x20\x09-\x0D]+", -1), placed)))
+    pages = texts.select("doc_id", F.filter(words, lambda w: w["word"] != "").alias("words"))
+    return segment.ocr_lines(pages).select("doc_id", "line", "n", "confidence", F.md5("text").alias("text_md5"))
 
 
 def text_blocks(spark, sf_dir):

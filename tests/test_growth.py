@@ -3,7 +3,8 @@
 import pyarrow as pa
 
 from tallymark.llm import packing
-from tallymark.operators import layout, selector
+from tallymark.operators import layout, segment, selector
+from tallymark.plans import queries
 
 
 def test_lines_of_a_page_go_on_over_batches():
@@ -37,3 +38,32 @@ def test_packing_takes_few_texts_at_a_time(spark, monkeypatch):
     docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "'a b' AS text")
     taken = [r.doc_tokens for r in packing.pack_documents(docs, "").collect()]
     assert sum(taken) == 4000 and max(taken) <= 1000
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_page_stay_together(spark, tmp_path):
+    """Only texts are shuffled, never single words; texts of one id make one page."""
+    texts = [(1, "a b  c d e f g h i j k\tl"), (1, "z y"), (2, " "), (3, None), (None, "q")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.ocr_line_confidence(spark, str(tmp_path))
+    plan = _plan(out)
+    assert plan.index("Generate") < plan.index("Exchange") and plan.count("Exchange hash") == 1
+    found = {(r.doc_id, r.line): (r.n, r.confidence) for r in out.collect()}
+    assert found == {(1, 0): (12, None), (1, 1): (2, 0.1), (None, 0): (1, None)}
+
+
+def test_lines_of_a_page_are_runs_of_its_words(spark):
+    words = [(7, 2.0, "c", 50), (None, 0.0, "x", 9), (7, 1.0, "b", 80), (9, 0.0, None, 101), (7, 1.0, "a", 0), (8, 0.0, "d", None)]
+    pages = spark.createDataFrame([(1, words), (2, []), (3, None), (4, words[:1])], "doc_id long, words array<struct<line:int,x0:double,word:string,conf:int>>")
+    found = {(r.doc_id, r.line): (r.text, r.confidence, r.n) for r in segment.ocr_lines(pages).collect()}
+    assert found == {(1, None): ("x", 0.09, 1), (1, 7): ("a b c", 0.0, 3), (1, 8): ("d", None, 1), (1, 9): ("", None, 1), (4, 7): ("c", 0.5, 1)}
+
+
+def test_lines_of_a_paragraph_are_sorted_in_its_row(spark):
+    """No window sorts all lines of a task one more time."""
+    line = (1, 0, 0, "Shipper: A", 1.0, 2.0, 3.0, 4.0, 90.0)
+    lines = spark.createDataFrame([line], "doc_id int, paragraph int, at int, text string, x0 double, top double, x1 double, bottom double, confidence double")
+    assert "Window" not in _plan(layout.ocr_blocks(lines))
