@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 
+from tallymark.functions import numbers
 from tallymark.llm import packing
 from tallymark.operators import layout, segment, selector
 from tallymark.plans import queries
@@ -67,3 +68,13 @@ def test_lines_of_a_paragraph_are_sorted_in_its_row(spark):
     line = (1, 0, 0, "Shipper: A", 1.0, 2.0, 3.0, 4.0, 90.0)
     lines = spark.createDataFrame([line], "doc_id int, paragraph int, at int, text string, x0 double, top double, x1 double, bottom double, confidence double")
     assert "Window" not in _plan(layout.ocr_blocks(lines))
+
+
+def test_numbers_are_searched_for_at_digits_alone(spark):
+    """Words are no candidates that a second pattern must rule out."""
+    texts = ["Supplier#0012", "a1 1,000 1,00 .5 5. 1-2 7_ \u00e97", "9", "x\u20287 mt 8kg\r\n6 T\u00f6 kgs", "no digit", "12 kg 13 KGS", "1,234,567.89MT"]
+    blocks = spark.createDataFrame([(k, 0, "native", t) for k, t in enumerate(texts)], "doc int, block int, method string, text string")
+    out = numbers.numeric_candidates(blocks, keys=["doc"])
+    assert "[\\w.,/-]+" not in _plan(out)
+    found = [(r.doc, r.number, r.value, r.start, r.unit, r.unit_start, r.line) for r in out.orderBy("doc", "number").collect()]
+    assert found == [(0, 1, "0012", 9, None, None, "Supplier#0012"), (1, 1, "1,000", 3, None, None, texts[1]), (2, 1, "9", 0, None, None, "9"), (3, 1, "7", 2, None, None, "7 mt 8kg"), (3, 2, "6", 12, "kgs", 17, "6 T\u00f6 kgs"), (5, 1, "12", 0, "kg", 3, texts[5]), (5, 2, "13", 6, "kg", 3, texts[5])]
