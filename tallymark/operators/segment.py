@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.values import told
 
 #: Line ends as Python's str.splitlines knows them.
-_BREAKS = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
+_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _EVERY = [x for own in L.LABELS.values() for x in own] + list(L.BOUNDARY_LABELS)
 _STARTS = rf"(?iU)^\s*(?:{L.alternatives(_EVERY)})(?:\s*\([^()\r\n]*\))*\s*[:=|\t]"
 _VALUED = rf"(?iU)^\s*(?:{L.alternatives(_EVERY)})(?:\s*\([^()\r\n]*\))*\.?(?:\s*[:=|]\s*|\s+)\S"
@@ -26,22 +27,26 @@ def starts_field(line: Column) -> Column:
 
 
 def starts_text(line: Column) -> Column:
-    """Also whether it begins, at the margin, with any label, a colon and a value; indented lines go on."""
-    colon = F.instr(line, ":")
-    value = F.substring(line, colon + 1, F.char_length(line))
-    return starts_field(line) | (colon.between(2, MARGIN_LABEL + 1) & line.rlike(r"(?U)^\S") & value.rlike(r"(?U)\S"))
+    """Also whether it begins, at the margin, with any label, a colon and a value; indented lines go on.  Known labels are looked for last."""
+    return (F.instr(line, ":").between(2, MARGIN_LABEL + 1) & line.rlike(r"(?U)^\S") & told(line)) | starts_field(line)
+
+
+def split_lines(text: Column) -> Column:
+    """Lines at all of these ends; of texts with others than LF the ends are made LF first, as splitting at a pattern compiles it for each row."""
+    odd = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), _BREAKS, "\n" * len(_BREAKS))
+    return F.split(F.when(text.rlike(f"[{_BREAKS[1:]}]"), odd).otherwise(text), "\n", -1)
 
 
 def text_blocks(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, block (from 1), line_start, line_end, text: a block ends before a blank line or a labelled line."""
-    lines = texts.select(F.col(id_col), F.posexplode(F.split(F.regexp_replace(F.coalesce(text_col, F.lit("")), "^\\uFEFF", ""), _BREAKS, -1)).alias("at", "line"))
-    blank = F.col("line").rlike(r"(?U)^\s*\z")
+    lines = texts.select(F.col(id_col), F.posexplode(split_lines(F.regexp_replace(F.coalesce(text_col, F.lit("")), "^\\uFEFF", ""))).alias("at", "line"))
+    blank = ~F.col("line").rlike(r"(?U)\S")
     labelled = starts_text(F.col("line"))
     own = Window.partitionBy(id_col).orderBy("at")
     lines = lines.withColumn("blank", blank)
     begins = ~F.col("blank") & (labelled | F.coalesce(F.lag("blank").over(own), F.lit(True)))
     lines = lines.withColumn("begins", begins).withColumn("block", F.sum(F.col("begins").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    held = F.array_sort(F.collect_list(F.struct("at", "line")))
+    held = F.sort_array(F.collect_list(F.struct("at", "line")))
     out = lines.where(~F.col("blank")).groupBy(id_col, "block").agg((F.min("at") + 1).alias("line_start"), (F.max("at") + 1).alias("line_end"), held.alias("held"))
     return out.select(id_col, F.col("block").cast("long").alias("block"), "line_start", "line_end", F.array_join(F.transform("held", lambda x: x["line"]), "\n").alias("text"))
 

@@ -58,8 +58,8 @@ def label_selections(spark, sf_dir):
     order = F.array_position(F.array(*map(F.lit, L.FIELDS)), F.col("field"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "text"))), lambda x: x["text"]), "\n")
     sides = rows.groupBy((F.col("case_id") * 2 + (F.col("role") == "BL").cast("int")).alias("doc_id")).agg(text.alias("text"))
-    out = selector.select_by_label(segment.text_blocks(sides))
-    return out.select("doc_id", "field", "status", F.array_join("blocks", ",").alias("blocks")).groupBy("doc_id").agg(*(F.max(F.when(F.col("field") == f, F.concat_ws(" ", "status", "blocks"))).alias(f) for f in L.FIELDS))
+    out = selector.blocks_by_field(segment.text_blocks(sides))
+    return out.select("doc_id", *(F.concat(selector.status_of(F.col(f)), F.lit(" "), F.array_join(selector.numbers_of(F.col(f)), ",")).alias(f) for f in L.FIELDS))
 
 
 ORACLES = {
