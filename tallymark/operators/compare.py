@@ -12,7 +12,15 @@ from ..functions.values import canonical_text, normalize, source_issue, value_of
 
 
 def read_values(texts: DataFrame) -> DataFrame:
-    """case_id, role, field, text -> also canonical, normalized, unit_source, issue."""
+    """case_id, role, field, text -> also canonical, normalized, unit_source, issue.
+
+    A reading rests on field and text alone, and names, ports and figures recur, so equal ones are read once.
+    """
+    read = _read(texts.select("field", "text").distinct()).withColumnsRenamed({"field": "_of_field", "text": "_of_text"})
+    return texts.join(read, F.col("field").eqNullSafe(F.col("_of_field")) & F.col("text").eqNullSafe(F.col("_of_text"))).drop("_of_field", "_of_text")
+
+
+def _read(texts: DataFrame) -> DataFrame:
     field, text, value = F.col("field"), F.col("canonical"), F.col("value")
     out = canonical_text(texts)
     out = out.withColumn("value", value_of(field, text)).withColumn("low", F.lower("value"))
@@ -29,7 +37,7 @@ def quality_issue(method: Column, ocr: Column, confidence: Column, *, least: flo
 def findings(readings: DataFrame, *, pair_valid: Column | None = None) -> DataFrame:
     """Seven rows a case: case_id, field, si_value, bl_value, si_issue, bl_issue, outcome, provisional_outcome.
 
-    One shuffle: the at most 14 readings of a case become a map, and the seven
+    One shuffle: the at most 14 readings of a case become an array, and the seven
     fields are looked up in it.  More than one reading of a side and field has
     no value and the issue ``ambiguous_reading``.  ``readings`` may carry
     ``code`` (a resolved port).
@@ -40,14 +48,14 @@ def findings(readings: DataFrame, *, pair_valid: Column | None = None) -> DataFr
     cases = readings.groupBy("case_id").agg(F.collect_list(entry).alias("list")).withColumn("keys", F.transform("list", lambda x: x["k"]))
     first = lambda k, i: F.array_position("keys", k) == i + 1
     twice = F.when(F.size(F.array_distinct("keys")) < F.size("keys"), F.filter("keys", lambda k, i: ~first(k, i)))
-    cases = cases.select("case_id", F.map_from_entries(F.filter("list", lambda x, i: first(x["k"], i))).alias("held"), twice.alias("twice"))
-    rows = cases.select("case_id", "held", "twice", F.explode(F.array(*map(F.lit, L.FIELDS))).alias("field"))
+    cases = cases.select("case_id", "list", "keys", twice.alias("twice"))
+    rows = cases.select("case_id", "list", "keys", "twice", F.explode(F.array(*map(F.lit, L.FIELDS))).alias("field"))
 
     def side(role: str) -> Column:
         key = F.concat(F.lit(f"{role}:"), F.col("field"))
         none = F.lit(None).cast("string")
         unclear = F.struct(none.alias("normalized"), F.lit("ambiguous_reading").alias("issue"), none.alias("code"))
-        return F.when(F.coalesce(F.array_contains("twice", key), F.lit(False)), unclear).otherwise(F.try_element_at("held", key))
+        return F.when(F.coalesce(F.array_contains("twice", key), F.lit(False)), unclear).otherwise(F.get("list", (F.array_position("keys", key) - 1).cast("int"))["v"])
 
     rows = rows.select("case_id", "field", side("SI").alias("si"), side("BL").alias("bl"))
     unknown = F.col("si.issue").isNotNull() | F.col("bl.issue").isNotNull() | F.col("si.normalized").isNull() | F.col("bl.normalized").isNull()
@@ -71,8 +79,8 @@ def in_one_row(rows: DataFrame, *names: str) -> DataFrame:
     return rows.groupBy("case_id").agg(*(F.array_join(F.transform(held(name), lambda x: x["v"]), "|").alias(name) for name in names))
 
 
-def report_facts(found: DataFrame) -> DataFrame:
-    """Per case: mismatches, unresolved (official order) and whether the seven fields are complete and unique."""
+def report_facts(found: DataFrame, **more: Column) -> DataFrame:
+    """Per case: mismatches, unresolved (official order), whether the seven fields are complete and unique, and ``more`` aggregates of its findings."""
     seen = [F.count_if(F.col("field") == name) == 1 for name in L.FIELDS]
     complete = reduce(lambda a, b: a & b, seen, F.count("*") == len(L.FIELDS))
-    return found.groupBy("case_id").agg(in_order(F.col("outcome") == "mismatch").alias("mismatches"), in_order(F.col("outcome") == "unresolved").alias("unresolved"), complete.alias("complete"))
+    return found.groupBy("case_id").agg(in_order(F.col("outcome") == "mismatch").alias("mismatches"), in_order(F.col("outcome") == "unresolved").alias("unresolved"), complete.alias("complete"), *(x.alias(name) for name, x in more.items()))

@@ -185,9 +185,8 @@ def field_metrics(spark, sf_dir):
 
 
 def _decided(spark, sf_dir) -> DataFrame:
-    found = _findings(spark, sf_dir)
-    odd = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("outcome") == "unresolved", F.array_compact(F.array("si_issue", "bl_issue")))))))
-    facts = compare.report_facts(found).join(found.groupBy("case_id").agg(odd.alias("issues")), "case_id")
+    odd = F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("outcome") == "unresolved", F.array_compact(F.array("si_issue", "bl_issue")))))))
+    facts = compare.report_facts(_findings(spark, sf_dir), issues=odd)
     valid = references.pair_validity(view(spark, sf_dir, "c4")).select("case_id", F.col("valid").alias("pair_valid"))
     rows = _emails(spark, sf_dir).select("case_id", "accepted", "suggested", "source", "processing").join(facts, "case_id", "left").join(valid, "case_id", "left")
     rows = rows.withColumn("report_present", F.col("complete").isNotNull()).withColumn("report_current", F.lit(True)).withColumn("n_attachments", F.when(F.col("report_present"), 2).otherwise(0))
