@@ -36,19 +36,50 @@ def _number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(numbers, pa.int32())], names=[*rows.schema.names, "line"])
 
 
-def pdf_lines(words: DataFrame) -> DataFrame:
+_HELD = ("x0", "top", "x1", "font", "text", "bottom")
+
+
+def _whole_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a line with its words, which are neighbours; those of the line that may go on are kept for the next batch."""
+    kept: list[pa.RecordBatch] = []
+    last: list[tuple] = []
+
+    def lines(keys: list[tuple], starts: list[int]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(kept).combine_chunks()
+        words = pa.StructArray.from_arrays([rows.column(k).combine_chunks() for k in _HELD], names=list(_HELD))
+        ids = [pa.array([x[k] for x in keys], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*ids, pa.ListArray.from_arrays(pa.array([*starts, rows.num_rows], pa.int32()), words)], names=["doc_id", "page", "line", "held"])
+
+    for rows in _number_lines(batches):
+        keys = list(zip(*(rows.column(k).to_pylist() for k in ("doc_id", "page", "line")), strict=True))
+        starts = [k for k, (before, own) in enumerate(zip([*last, *keys] if last else [None, *keys], keys, strict=False)) if before != own]
+        if starts:
+            held = sum(x.num_rows for x in kept)
+            kept.append(rows.slice(0, starts[-1]))
+            if whole := [*last, *(keys[k] for k in starts[:-1])]:
+                yield lines(whole, [*([0] if last else []), *(held + k for k in starts[:-1])])
+            kept, last = [rows.slice(starts[-1])], [keys[-1]]
+        elif keys:
+            kept.append(rows)
+    if last:
+        yield lines(last, [0])
+
+
+def pdf_lines(words: DataFrame, *, together: bool = False) -> DataFrame:
     """doc_id, page, line (from 1), text, x0, top, x1, bottom of words (doc_id, page, text, x0, x1, top, bottom, font).
 
     The fold over a page needs its order and nothing else, so it runs over
-    sorted rows with one line's state in memory, whatever the size of a page;
-    text and box of a line are aggregates.  Words that touch and
-    differ in font only are joined without a blank.
+    sorted rows with one line's words in memory, whatever the size of a page,
+    and gives lines.  Words that touch and
+    differ in font only are joined without a blank.  ``together`` says that
+    those of a doc_id are in one partition already, so they are only sorted.
     """
-    typed = words.select(*(F.col(k).cast(t) for k, t in (x.split() for x in _WORD.split(", "))))
-    ordered = typed.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", F.asc_nulls_last("top"))
-    numbered = ordered.mapInArrow(_number_lines, _WORD + ", line int")
-    held = F.array_sort(F.collect_list(F.struct("x0", "top", "x1", "font", F.coalesce("text", F.lit("")).alias("text"))))
-    rows = numbered.groupBy("doc_id", "page", "line").agg(held.alias("held"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
+    typed = words.select(*(F.col(k).cast(t) for k, t in (x.split() for x in _WORD.split(", ")))).withColumn("text", F.coalesce("text", F.lit("")))
+    dealt = typed if together else typed.repartition("doc_id", "page")
+    ordered = dealt.sortWithinPartitions("doc_id", "page", F.asc_nulls_last("top"))
+    kinds = dict(x.split() for x in _WORD.split(", "))
+    lines = ordered.mapInArrow(_whole_lines, f"doc_id long, page int, line int, held array<struct<{', '.join(f'{k}: {kinds[k]}' for k in _HELD)}>>")
+    rows = lines.select("doc_id", "page", "line", F.sort_array("held").alias("held"), *(F.array_min(f"held.{k}").alias(k) for k in ("x0", "top")), *(F.array_max(f"held.{k}").alias(k) for k in ("x1", "bottom")))
     before = lambda k: F.get("held", k - 1)
 
     def touching(x: Column, k: Column) -> Column:
@@ -66,7 +97,7 @@ def pdf_blocks(lines: DataFrame) -> DataFrame:
     gap = F.coalesce(F.col("top") - F.lag("bottom").over(own) > BLOCK_GAP, F.lit(True))
     begins = lines.withColumn("begins", starts_field(F.col("text")) | gap)
     numbered = begins.withColumn("block", F.sum(F.col("begins").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    held = F.array_sort(F.collect_list(F.struct("line", "text")))
+    held = F.sort_array(F.collect_list(F.struct("line", "text")))
     out = numbered.groupBy("doc_id", "page", "block").agg(held.alias("held"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
     return out.select("doc_id", "page", "block", F.array_join(F.transform("held", lambda x: x["text"]), "\n").alias("text"), "x0", "top", "x1", "bottom")
 

@@ -97,7 +97,9 @@ def numeric_candidates(spark, sf_dir):
 
 
 def _words(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[\x20\x09-\x0D]+", -1)).alias("pos", "text")).where("text <> ''")
+    """Texts are dealt by id, so their words lie together."""
+    texts = table(spark, sf_dir, "documents").where("text is not null").groupBy("doc_id").agg(F.collect_list("text").alias("texts")).select("doc_id", F.explode("texts").alias("text"))
+    words = texts.select("doc_id", F.posexplode(F.split("text", r"[\x20\x09-\x0D]+", -1)).alias("pos", "text")).where("text <> ''")
     at, column = F.floor(F.col("pos") % 400 / 10), F.col("pos") % 10
     top = at * 12 + F.col("pos") % 4 + F.floor(at / 5) * 20
     x0 = column * 60.0
@@ -106,7 +108,7 @@ def _words(spark, sf_dir):
 
 def pdf_blocks(spark, sf_dir):
     """Words of documents set ten to a line, forty lines to a page."""
-    return layout.pdf_blocks(layout.pdf_lines(_words(spark, sf_dir))).select("doc_id", "page", "block", "x0", "top", "x1", "bottom", F.md5("text").alias("text_md5"))
+    return layout.pdf_blocks(layout.pdf_lines(_words(spark, sf_dir), together=True)).select("doc_id", "page", "block", "x0", "top", "x1", "bottom", F.md5("text").alias("text_md5"))
 
 
 def word_blocks(spark, sf_dir):
